@@ -4,14 +4,17 @@ A document's set is its distinct word shingles (64-bit hashes). Of 128 minima ea
 of 4 give candidate pairs: at a similarity of 0.8 or more, the chance that all 32 bands
 miss a pair is below 5e-8. The low 2 bits of each minimum are packed in bit planes; the
 share of equal minima, counted by bit operations and corrected for chance collisions
-(``(m - 1/4) / (1 - 1/4)``), estimates the similarity. Candidates whose estimate lies six
+(``(m - 1/4) / (1 - 1/4)``), estimates the similarity. Candidates whose estimate lies five
 standard errors below the threshold leave. The rest are confirmed on the full sets.
 
 Hot groups: equal sets are one node from the start (grouped by a 128-bit digest, before
-the shuffle). In each band bucket, first only links to one centre are tried, then to
-another; members that are already in one component need no link among each other. What
-is left, pairs of one bucket in different components, is tried in full, so no link that
-joins two components is lost. Buckets, links and components stay distributed.
+the shuffle). In a bucket, a set is compared with those that no link has reached yet, and
+only a spanning forest of the plausible links is kept, never all pairs. The components
+of these forests are candidate clusters; every true link joins members of one cluster.
+In a cluster links are confirmed on the full sets, again as a spanning forest, which has
+the components of all links. Buckets and clusters beyond a fixed size are dealt in pairs
+of blocks to different tasks, so none of them meets in one task and no pair is left out.
+Buckets, links and components stay distributed.
 
 Defined results: words are runs without ASCII white space, A-Z lower-cased; a text of
 fewer words than a shingle is one shingle, its whole sequence; null and blank texts have
@@ -84,7 +87,6 @@ def signature(best: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 _FEAT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
-_SETS = pa.schema([("digest", pa.binary()), ("s", pa.list_(pa.int64()))])
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -106,11 +108,65 @@ def features(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, bands array<bigint>, sig array<bigint>")
 
 
-_ESTIMATE = "(({h} - bit_count((a_sig[0] ^ b_sig[0]) | (a_sig[2] ^ b_sig[2])) - bit_count((a_sig[1] ^ b_sig[1]) | (a_sig[3] ^ b_sig[3]))) / {h}D - 0.25D) / 0.75D".format(h=HASHES)
+def _estimates(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Estimated similarity of one packed signature to each of many."""
+    x = (sig ^ one).view(np.uint64)  # numpy counts the bits of absolute values
+    other = np.bitwise_count(x[:, 0] | x[:, 2]).astype(np.int64) + np.bitwise_count(x[:, 1] | x[:, 3])
+    return (1 - other / HASHES - 0.25) / 0.75
 
 
-def components(edges: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
-    """(node, label): the smallest node of each connected component, by alternating steps
+def _grow(n: np.ndarray, sig: np.ndarray, percent: int, least: float, sure=None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among some sets: each set is compared once with
+    those not reached yet, so a group that hangs together costs little more than its size
+    and never gives more links than members. ``sure(i, candidates)`` confirms links."""
+    order, left, out = [], np.arange(len(n)), []
+    for seed in range(len(n)):
+        if not len(left):
+            break
+        if left[0] != seed:
+            continue  # reached before
+        left, order = left[1:], [seed]
+        while order and len(left):
+            i = order.pop()
+            m = n[left]
+            near = (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])) & (_estimates(sig[left], sig[i]) >= least)
+            if sure is not None and near.any():
+                near[near] = sure(i, left[near])
+            for j in left[near].tolist():
+                out.append((i, j))
+                order.append(j)
+            left = left[~near]
+    return out
+
+
+def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of sorted batches, by equal values of the first ``keys`` columns."""
+    held: list[tuple] = []
+    for r in rows(batches):
+        if held and held[-1][:keys] != r[:keys]:
+            yield held
+            held = []
+        held.append(r)
+    if held:
+        yield held
+
+
+def _blocked(df: DataFrame, key: str, size: str, node: str, most: int) -> DataFrame:
+    """Deals the rows of each ``key`` to blocks of about ``most`` (summed ``size``), and each
+    row to every pair of blocks that its own is part of: columns bi, bj. A key of one block
+    has one pair, so only keys beyond ``most`` are replicated, and none meets in one task."""
+    count = df.groupBy(key).agg(F.sum(size).alias("_t"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select(key, F.expr(f"cast(ceil(_t / {most}) as int)").alias("_b"))
+    j = df.join(count, key).withColumn("_i", F.expr(f"pmod(xxhash64({node}), _b)"))
+    return j.withColumn("_j", F.explode(F.expr("sequence(0, _b - 1)"))).withColumn("bi", F.least("_i", "_j")).withColumn("bj", F.greatest("_i", "_j")).drop("_b", "_i", "_j")
+
+
+_EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+#: Members of a bucket, and shingles of a cluster, that one task compares with each other.
+BUCKET_BLOCK, CLUSTER_BLOCK = 16_384, 2_000_000
+
+
+def components(edges: DataFrame, folder: str) -> DataFrame:
+    """(node, label) of every node with an edge: the smallest node of its component, by alternating steps
     of taking the smallest label of the neighbours and of the label's own label."""
     spark, step = edges.sparkSession, 0
     both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "both", f"{folder}/both")
@@ -125,8 +181,7 @@ def components(edges: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
         step += 1
         lab = new.select("node", "label")
         if not changed:
-            break
-    return nodes.select("node").join(lab, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+            return lab
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -140,51 +195,64 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     some = feat.where("n > 0")
     groups = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     j = percent / 100
-    least = j - 6 * ((1 - j) * (j + 1 / 3) / HASHES) ** 0.5  # standard error of the corrected estimate
+    least = j - 5 * ((1 - j) * (j + 1 / 3) / HASHES) ** 0.5  # standard error of the corrected estimate
     # Band rows of distinct sets; the digest's first half is the node's id where it is unique.
     uniq = some.groupBy("digest").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.any_value("n").alias("n"))
-    band = uniq.select(F.col("digest").alias("node"), "sig", "n", F.explode("bands").alias("band"))
-    hot = band.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    band = materialize(band.join(hot, "band"), "bands", f"{folder}/bands")
-    nodes = materialize(band.select("node").distinct(), "nodes", f"{folder}/nodes")
-    # Full sets of the documents that share a bucket with another set.
-    want = some.join(nodes, some["digest"] == nodes["node"], "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    band = uniq.select(F.col("digest").alias("node"), "sig", "n", F.explode("bands").alias("band")).withColumn("one", F.lit(1))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for text, digest in rows(batches):
-                s = shingles(text, n)
-                if (d := _digest(s)) == digest:
-                    yield d, s.view(np.int64)
-
-        return emit(found(), _SETS, 200)
-
+            for g in _runs(batches, 3):
+                if len(g) > 1:
+                    sig = np.array([r[5] for r in g], dtype=np.int64)
+                    for i, k in _grow(np.array([r[4] for r in g]), sig, percent, least):
+                        yield min(g[i][3], g[k][3]), max(g[i][3], g[k][3])
+
+        return emit(found(), _EDGE, 20_000)
+
+    dealt = _blocked(band, "band", "one", "node", BUCKET_BLOCK).select("band", "bi", "bj", "node", "n", "sig")
+    dealt = dealt.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj")
+    near = materialize(dealt.mapInArrow(candidates, "a binary, b binary").distinct(), "near", f"{folder}/near")
+    # Every link joins two sets of one candidate cluster; links are confirmed in clusters.
+    lab = components(near, f"{folder}/clusters")
+    member = lab.join(groups.select(F.col("digest").alias("node"), "rep"), "node").join(uniq.select(F.col("digest").alias("node"), "n", "sig"), "node")
+    member = materialize(_blocked(member, "label", "n", "node", CLUSTER_BLOCK).select("label", "bi", "bj", "node", "rep", "n", "sig"), "members", f"{folder}/members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(want, texts["doc_id"].eqNullSafe(want["doc_id"])).select("text", "digest").mapInArrow(run, "digest binary, s array<bigint>")
-    sets = materialize(sets.groupBy("digest").agg(F.any_value("s").alias("s")).select(F.col("digest").alias("node"), "s"), "sets", f"{folder}/sets")
-    lab = nodes.select("node", F.col("node").alias("label"))
-    edges, tried = None, None
-    for turn in ("min", "max", "all"):
-        here = band.join(lab, "node")
-        if turn == "all":
-            a = here.select("band", F.col("node").alias("a"), F.col("sig").alias("a_sig"), F.col("n").alias("a_n"), F.col("label").alias("la"))
-            b = here.select("band", F.col("node").alias("b"), F.col("sig").alias("b_sig"), F.col("n").alias("b_n"), F.col("label").alias("lb"))
-            pairs = a.join(b, (a["band"] == b["band"]) & (a["a"] < b["b"]) & (a["la"] != b["lb"]) & F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {_ESTIMATE} >= {least!r}"))
-        else:
-            pick = F.min if turn == "min" else F.max
-            mixed = here.groupBy("band").agg(pick(F.struct("node", "sig", "n")).alias("c"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band", "c")
-            pairs = here.join(mixed, "band").select(F.col("node").alias("a"), F.col("sig").alias("a_sig"), F.col("n").alias("a_n"), F.col("c.node").alias("b"), F.col("c.sig").alias("b_sig"), F.col("c.n").alias("b_n"))
-            pairs = pairs.where("a <> b").where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {_ESTIMATE} >= {least!r}")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        sure = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        sure = sure.withColumn("i", F.expr("size(array_intersect(sa, sb))")).select("a", "b", F.expr(f"100 * i >= {percent} * (size(sa) + size(sb) - i)").alias("ok"))
-        done = materialize(sure, "tried", f"{folder}/tried-{turn}")
-        tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
-        new = done.where("ok").select("a", "b")
-        edges = new if edges is None else edges.unionByName(new)
-        lab = materialize(components(edges, nodes, f"{folder}/cc-{turn}"), "labels", f"{folder}/labels-{turn}")
+    full = member.join(texts, member["rep"].eqNullSafe(texts["doc_id"])).select("label", "bi", "bj", "node", "n", "sig", "text")
+    full = full.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "node")
+
+    def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for g in _runs(batches, 3):
+                node, size, sig, sets = [], [], [], []
+                for r in g:
+                    s = shingles(r[6], n)
+                    if (not node or node[-1] != r[3]) and _digest(s) == r[3]:
+                        node.append(r[3])
+                        size.append(len(s))
+                        sig.append(r[5])
+                        sets.append(s)
+                if len(node) < 2:
+                    continue
+                words, code = np.unique(np.concatenate(sets), return_inverse=True)
+                at = np.concatenate(([0], np.cumsum(size)))
+                code = code.astype(np.int32)
+                parts = [code[at[k] : at[k + 1]] for k in range(len(node))]
+                mark, count = np.zeros(len(words), bool), np.array(size)
+
+                def sure(i, which, mark=mark, parts=parts, count=count):
+                    mark[parts[i]] = True
+                    both = np.array([np.count_nonzero(mark[parts[k]]) for k in which])
+                    mark[parts[i]] = False
+                    return 100 * both >= percent * (count[which] + count[i] - both)
+
+                for i, k in _grow(count, np.array(sig, dtype=np.int64), percent, least, sure):
+                    yield min(node[i], node[k]), max(node[i], node[k])
+
+        return emit(found(), _EDGE, 20_000)
+
+    edges = materialize(full.mapInArrow(confirm, "a binary, b binary").distinct(), "links", f"{folder}/links")
+    lab = components(edges, f"{folder}/components")
     by = lab.join(groups, lab["node"] == groups["digest"]).groupBy("label").agg(F.min("rep").alias("component")).join(lab, "label").select(F.col("node").alias("digest"), "component")
     by = groups.join(by, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = feat.select("doc_id", "n", "digest").join(by, "digest", "left")
