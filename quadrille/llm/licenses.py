@@ -127,7 +127,7 @@ def oracle(threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMP
     values = ", ".join(f"('{name}', [{', '.join(repr(x) for x in b)}])" for name, b in template_bigrams(templates))
     return rf"""
 WITH t(license, tb) AS (VALUES {values}),
-lines AS (SELECT rowid AS r, doc_id, string_split(lower(coalesce(text, '')), chr(10)) AS l, lower(text) AS whole FROM documents),
+lines AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(lower(coalesce(text, '')), chr(10)) AS l, lower(text) AS whole FROM documents),
 units AS (
   SELECT r, unnest(range(len(l))) AS unit, unnest(l) AS s FROM lines
   UNION ALL SELECT r, -1, whole FROM lines WHERE len(l) > 1),
