@@ -4,6 +4,7 @@ lineage, range buckets, and files that executors write and read."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -89,8 +90,22 @@ def bucket_udf(bounds: list[int]):
     return bucket
 
 
-def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+def sliced(batches: Iterable[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``size``, so that few of them are Python objects
+    at a time; at the end a worker gives free memory back to the system."""
     for b in batches:
+        for at in range(0, b.num_rows, size):
+            yield b.slice(at, size)
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in sliced(batches):
         yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
 

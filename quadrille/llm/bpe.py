@@ -18,6 +18,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ class ForcedBoundaryEncoder:
     """Encodes as the tokenizers library does with a BPE file that has a word-end suffix,
     lower-cases and drops white space. Caches are bounded."""
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 120_000):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -49,7 +50,7 @@ class ForcedBoundaryEncoder:
         self.pairs = forced_pairs(self.vocab, self.suffix)
         self.last = self.whole.model
         self.inner = BPE(self.vocab, merges)
-        self.fragments = BoundedCache(self._fragment, entries)
+        self.fragments = BoundedCache(self._fragment, entries // 2)
         self.chunks = BoundedCache(self._chunk, entries)
 
     def _fragment(self, key: tuple[str, bool]) -> list[int]:
@@ -128,9 +129,9 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False, id_col:
                 if digests:
                     yield i, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
                 else:
-                    yield i, n, [int(x) for x in ids.split()], decoded
+                    yield i, n, np.array(ids.split(), np.int32), decoded
 
-        return emit(found(), DIGESTS if digests else ENCODED, 1000)
+        return emit(found(), DIGESTS if digests else ENCODED, 200)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, n_tokens long, ids array<int>, decoded string"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

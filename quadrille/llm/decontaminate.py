@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import emit, rows
+from ._common import emit, rows, sliced
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -106,7 +106,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_byt
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             windows = held.value
-            for b in batches:
+            for b in sliced(batches):
                 old_w, old_i = (b.column(b.schema.get_field_index(n)).to_pylist() for n in ("_hit_words", "_hit_items"))
                 new_w, new_i = [], []
                 for text, w0, i0 in zip(b.column(b.schema.get_field_index("text")).to_pylist(), old_w, old_i, strict=True):
@@ -176,7 +176,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_b
         return text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             at = b.schema.get_field_index("text")
             text = [clean(t, h) for t, h in zip(b.column(at).to_pylist(), b.column(b.schema.get_field_index("_hit_words")).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if n == "text" else b.column(b.schema.get_field_index(n)) for n in names], names=names)

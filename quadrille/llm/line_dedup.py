@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import emit, fresh_path, drop_path, materialize, rows, with_ids
+from ._common import emit, fresh_path, drop_path, materialize, rows, sliced, with_ids
 
 MIN_WORDS = 10
 _SEQ = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("line", pa.list_(pa.int32())), ("key", pa.list_(pa.binary())), ("words", pa.list_(pa.int32()))])
@@ -145,7 +145,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = Fals
     names, schema = docs.columns, docs.schema
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             text = b.column(b.schema.get_field_index("text")).to_pylist()
             key = pa.array([None if t is None else xxhash.xxh3_128_digest(t) for t in text], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, key], names=[*b.schema.names, "_ld_key"])
