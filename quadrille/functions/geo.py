@@ -31,12 +31,18 @@ def wkt(e: E) -> Column:
     return F.lit(None).cast("string")
 
 
+def point(w: Column) -> Column:
+    """struct(x, y) of a point on Earth; NULL for other geometries. The lambdas keep the
+    text from being copied into every place that reads a coordinate."""
+    part = lambda s, k: F.regexp_extract(s, POINT, k).try_cast("double")
+    read = F.transform(F.array(w), lambda s: F.when(s.rlike(POINT), F.struct(part(s, 1).alias("x"), part(s, 2).alias("y"))))
+    return F.get(F.filter(read, lambda p: (F.abs(p["x"]) <= 180) & (F.abs(p["y"]) <= 90)), F.lit(0))
+
+
 def lng_lat(w: Column) -> tuple[Column, Column]:
     """Coordinates of a point; NULL for other geometries and for places not on Earth."""
-    x = F.when(w.rlike(POINT), F.regexp_extract(w, POINT, 1).try_cast("double"))
-    y = F.when(w.rlike(POINT), F.regexp_extract(w, POINT, 2).try_cast("double"))
-    ok = (F.abs(x) <= 180) & (F.abs(y) <= 90)
-    return F.when(ok, x), F.when(ok, y)
+    p = point(w)
+    return p["x"], p["y"]
 
 
 def haversine_km(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -352,7 +358,7 @@ def to_wkt(g: Geometry) -> str:
 
 def function(name: str, a: list[E]) -> E:
     w = wkt(a[0])
-    point = w.rlike(POINT)
+    is_point = w.rlike(POINT)
     x, y = lng_lat(w)
     if name == "longitude":
         return E(x, "dbl", True)
@@ -368,26 +374,26 @@ def function(name: str, a: list[E]) -> E:
     if name in ("minX", "maxX", "minY", "maxY"):
         axis, low = "XY".index(name[-1]), name.startswith("min")
         slow = _map("double", lambda g: float((g.coords().min(axis=0) if low else g.coords().max(axis=0))[axis]))
-        return E(F.when(point, (x, y)[axis]).otherwise(slow(w)), "dbl", True)
+        return E(F.when(is_point, (x, y)[axis]).otherwise(slow(w)), "dbl", True)
     if name == "centroid":
-        return E(F.when(point, w).otherwise(_map("string", lambda g: "POINT({:.12g} {:.12g})".format(*centroid(g)))(w)), "wkt", True)
+        return E(F.when(is_point, w).otherwise(_map("string", lambda g: "POINT({:.12g} {:.12g})".format(*centroid(g)))(w)), "wkt", True)
     if name == "envelope":
         return E(_map("string", _box("all"))(w), "wkt", True)
     if name in ("envelopeLowerLeft", "envelopeUpperRight"):
-        return E(F.when(point, w).otherwise(_map("string", _box("low" if "Lower" in name else "high"))(w)), "wkt", True)
+        return E(F.when(is_point, w).otherwise(_map("string", _box("low" if "Lower" in name else "high"))(w)), "wkt", True)
     if name == "simplifyGeometry":
         if a[1].const is None:
             raise SparqlError("the tolerance must be constant")
         tolerance = float(a[1].const.value)
-        return E(F.when(point, w).otherwise(_map("string", lambda g: to_wkt(simplify(g, tolerance)))(w)), "wkt", True)
+        return E(F.when(is_point, w).otherwise(_map("string", lambda g: to_wkt(simplify(g, tolerance)))(w)), "wkt", True)
     if name in ("metricLength", "length"):
         scale = 1.0 if name == "metricLength" else _unit(a[1] if len(a) > 1 else None, LENGTH_UNITS, "M")
-        return E(F.when(point, F.lit(0.0)).otherwise(_map("double", length_m)(w)) / scale, "dbl", True)
+        return E(F.when(is_point, F.lit(0.0)).otherwise(_map("double", length_m)(w)) / scale, "dbl", True)
     if name in ("metricArea", "area"):
         scale = 1.0 if name == "metricArea" else _unit(a[1] if len(a) > 1 else None, AREA_UNITS, "M2")
-        return E(F.when(point, F.lit(0.0)).otherwise(_map("double", area_m2)(w)) / scale, "dbl", True)
+        return E(F.when(is_point, F.lit(0.0)).otherwise(_map("double", area_m2)(w)) / scale, "dbl", True)
     if name == "numGeometries":
-        return E(F.when(point, F.lit(1).cast("bigint")).otherwise(_map("bigint", lambda g: max(1, len(g.members)))(w)), "int", True)
+        return E(F.when(is_point, F.lit(1).cast("bigint")).otherwise(_map("bigint", lambda g: max(1, len(g.members)))(w)), "int", True)
     if name == "geometryN":
         n = as_double(a[1]).cast("int")
 

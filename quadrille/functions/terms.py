@@ -318,3 +318,37 @@ def datatype(e: E) -> E:
 
 def is_literal_const(x: Any) -> bool:
     return isinstance(x, Lit)
+
+
+def compare_const(e: E, x: Any) -> Column:
+    """Whether a term of a triple is the constant ``x`` (the same term, not the same value)."""
+    c = constant(x)
+    if e.kind.startswith("ref:"):
+        key = x.value.removeprefix(e.kind[4:]) if isinstance(x, IRI) else ""
+        fits = isinstance(x, IRI) and x.value.startswith(e.kind[4:]) and re.fullmatch(r"0|-?[1-9]\d{0,18}", key)
+        return e.col == int(key) if fits and -(2**63) <= int(key) < 2**63 else F.lit(False)
+    if e.kind == c.kind or {e.kind, c.kind} == {"iri", "res"}:
+        return e.col == c.col
+    if e.kind != "term":
+        return F.lit(False)
+    out, t = F.lit(True), e.col
+    for name, v in lit_fields(x).items():
+        out = out & (t[name].isNull() if v is None else t[name] == F.lit(v))
+    return out & (t["lang"].isNull() if not getattr(x, "lang", None) else F.lit(True)) & (t["dt"].isNull() if not lit_fields(x).get("dt") else F.lit(True))
+
+
+def rdf_text(e: E) -> Column:
+    """A term in N-Triples syntax."""
+    c = to_term(e)
+    k, dt, lang = c["k"], c["dt"], c["lang"]
+    plain = text(E(c, "term", True))
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(F.replace(F.replace(F.replace(plain, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t")), F.lit('"'))
+    typed = lambda t: F.concat(quoted, F.lit(f"^^<{t}>"))
+    dbl = F.when(F.isnan(c["d"]) | (F.abs(c["d"]) == float("inf")), typed(XSD + "double")).otherwise(F.concat(F.lit('"'), decimal_text(c["d"]), F.lit(f'"^^<{XSD}decimal>')))
+    lit = F.when(lang.isNotNull(), F.concat(quoted, F.lit("@"), lang)).when(dt.isNotNull(), F.concat(quoted, F.lit("^^<"), dt, F.lit(">"))).otherwise(quoted)
+    return F.when(k == K_IRI, F.concat(F.lit("<"), c["s"], F.lit(">"))).when(k == K_BNODE, c["s"]).when(k == K_INT, typed(XSD + "int")).when(k == K_DBL, dbl).when(k == K_BOOL, typed(XSD + "boolean")).otherwise(lit)
+
+
+def decimal_text(c: Column) -> Column:
+    """Doubles as results show them: one decimal place if whole, else 13 significant digits."""
+    return F.when((c == F.floor(c)) & (F.abs(c) < 1e15), F.format_string("%.1f", c)).otherwise(double_text(c))
