@@ -70,8 +70,9 @@ class ForcedBoundaryEncoder:
 
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
         """(number of ids, ids as text, tokens as text) of a run without white space."""
-        if PLAIN.match(chunk):
-            pieces = [byte_alphabet(p) for p in _PIECE.findall(chunk.lower())]
+        low = chunk.lower()
+        if PLAIN.match(chunk) and PLAIN.match(low):
+            pieces = [byte_alphabet(p) for p in _PIECE.findall(low)]
         else:
             pieces = [p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(chunk))]
         ids: list[int] = []

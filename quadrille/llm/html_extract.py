@@ -39,7 +39,8 @@ _BAD_WORD = re.compile(r"(?:^|[-_ ])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\
 _GOOD_WORD = re.compile(r"(?:^|[-_ ])(?:article|content|main|post|entry|story|body|text)(?:$|[-_ ])", re.I)
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>)", re.S)
 _CUT = re.compile(r"<(?:/?[a-zA-Z!?][^<>]*)?\Z", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
@@ -67,7 +68,7 @@ class _Node:
                 elif name == "role":
                     bad |= value.lower() in _ROLES
                     good |= value.lower() in ("main", "article")
-                elif name == "hidden" or value.lower() == "true":
+                elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSEEN.search(value):
                     skip = True
         article = parent is not None and (parent.good > 0)
         if tag == "header" and article and not _BAD_WORD.search(attrs):
