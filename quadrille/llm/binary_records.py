@@ -184,8 +184,8 @@ def write_records(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]]
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "records")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bucket = bucket_udf(range_bounds(d, "doc_id", bucket_count(spark)))
-    dealt = d.withColumn("bucket", bucket("doc_id")).repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "text").select("bucket", "doc_id", "text")
+    bounds = range_bounds(d, "doc_id", bucket_count(spark))
+    dealt = d.withColumn("bucket", bucket_udf(bounds)("doc_id")).repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "text").select("bucket", "doc_id", "text")
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
