@@ -151,7 +151,7 @@ def compare_with_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
         return pd.Series([[2 * int(o)] if g < 0 else [2 * int(o), 2 * int(g) + 1] for o, g in zip(own, ghost, strict=True)])
 
     dealt = d.select("doc_id", "text", F.explode(targets("doc_id")).alias("slot")).withColumn("bucket", F.expr("slot div 2")).withColumn("ghost", F.expr("slot % 2"))
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), F.desc("text")).select("bucket", "ghost", "doc_id", "text")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), F.desc("text")).select("bucket", "ghost", "doc_id", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
