@@ -16,10 +16,8 @@ Spark commits) are read, so a lost or repeated task leaves no trace in the resul
 from __future__ import annotations
 
 import re
-import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -119,7 +117,12 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 #: What the fast split below does not handle: runs of white space, white space other
 #: than single blanks and line ends, and text that looks like a special token.
-_ODD = re.compile("[\t\x0b-\x0d\x1c-\x1f\x85\xa0  -     　]|[ \n][ \n]|<\\|")
+_WIDE = re.compile("[\t\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RUNS = ("  ", " \n", "\n ", "\n\n", "<|")
+
+
+def _odd(text: str) -> bool:
+    return any(x in text for x in _RUNS) or _WIDE.search(text) is not None
 
 
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^ \n0-9{LATIN}]+")
@@ -132,7 +135,7 @@ class ByteLevelEncoder:
     words of a text are encoded apart by the library and kept in a bounded cache.
     Texts with unusual white space or special tokens go to the library whole."""
 
-    def __init__(self, path: str, entries: int = 600_000):
+    def __init__(self, path: str, entries: int = 800_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -140,16 +143,20 @@ class ByteLevelEncoder:
         self.whole.no_padding()
         self.split = self.whole.pre_tokenizer.pre_tokenize_str
         self.model = self.whole.model
-        self.pieces = BoundedCache(self._piece, entries // 3)
+        self.four = [k.to_bytes(4, "little") for k in range(self.whole.get_vocab_size(with_added_tokens=True))]
+        self.pieces = BoundedCache(self._piece, entries // 4)
         self.words = BoundedCache(self._word, entries)
 
     def _piece(self, piece: str) -> bytes:
-        ids = array("I", [t.id for t in self.model.tokenize(piece)])
-        if sys.byteorder != "little":
-            ids.byteswap()
-        return ids.tobytes()
+        four = self.four
+        return b"".join([four[t.id] for t in self.model.tokenize(piece)])
 
     def _word(self, key: str) -> bytes:
+        if key.isascii():  # a word, or a word and one mark after it
+            if key.isalpha():
+                return self._piece("\u0120" + key)
+            if key[:-1].isalpha() and key[-1] in ".,;:!?":
+                return self.pieces["\u0120" + key[:-1]] + self.pieces[key[-1]]
         if key[:1] == "\n":
             return self.pieces["\u010a"] + self._run(key[1:])
         return self._run(" " + key)
@@ -168,7 +175,7 @@ class ByteLevelEncoder:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _ODD.search(text):
+        if _odd(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.replace("\n", " \n").split(" ")
         return self._run(first) + b"".join(map(self.words.__getitem__, rest))
