@@ -9,6 +9,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -140,6 +141,18 @@ def small_frame(spark: SparkSession, found: list[tuple], schema: str) -> DataFra
     return df.repartition(max(1, len(found))) if found else df
 
 
+_caches: list[weakref.ref] = []
+
+
+def claim(*mine: BoundedCache) -> None:
+    """Empties every cache of this worker but those named: a worker serves one operator after
+    another, and none shall hold memory for those before it."""
+    for ref in _caches:
+        c = ref()
+        if c is not None and not any(c is m for m in mine):
+            c.clear()
+
+
 class BoundedCache(dict):
     """A dictionary that makes missing values by ``make``. At ``limit`` entries it begins
     anew, so a worker's memory stays bounded whatever the vocabulary of the corpus; words in
@@ -147,6 +160,7 @@ class BoundedCache(dict):
 
     def __init__(self, make, limit: int):
         self.make, self.limit = make, limit
+        _caches.append(weakref.ref(self))
 
     def __missing__(self, key):
         value = self.make(key)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LATIN, PLAIN, BoundedCache, bucket_count, bucket_udf, byte_alphabet, emit, fresh_path, materialize, open_fs, range_bounds, rows, small_frame
+from ._common import LATIN, PLAIN, BoundedCache, bucket_count, bucket_udf, byte_alphabet, claim, emit, fresh_path, materialize, open_fs, range_bounds, rows, small_frame
 
 _BLOCK = 256
 
@@ -146,6 +146,7 @@ class ByteLevelEncoder:
         self.four = [k.to_bytes(4, "little") for k in range(self.whole.get_vocab_size(with_added_tokens=True))]
         self.pieces = BoundedCache(self._piece, entries // 4)
         self.words = BoundedCache(self._word, entries)
+        self.caches = (self.pieces, self.words)
 
     def _piece(self, piece: str) -> bytes:
         four = self.four
@@ -197,6 +198,7 @@ def write_records(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, fs, top = encoder(), *open_fs(folder)
+        claim(*getattr(encode, "caches", ()))
         fs.create_dir(top, recursive=True)
 
         class File:

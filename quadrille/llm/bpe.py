@@ -17,13 +17,14 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LATIN, PLAIN, BoundedCache, byte_alphabet, emit, rows
+from ._common import LATIN, PLAIN, BoundedCache, byte_alphabet, claim, emit, rows
 
 _ODD = re.compile("[\x1c-\x1f\x85᠎﻿]|<\\|")
 
@@ -35,7 +36,7 @@ class ForcedBoundaryEncoder:
     """Encodes as the tokenizers library does with a BPE file that has a word-end suffix,
     lower-cases and drops white space. Caches are bounded."""
 
-    def __init__(self, path: str, entries: int = 120_000):
+    def __init__(self, path: str, entries: int = 400_000):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -45,41 +46,44 @@ class ForcedBoundaryEncoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
-        self.names = {i: (str(i), t) for t, i in self.vocab.items()}
+        self.numbers = {i: str(i) for i in self.vocab.values()}
+        self.tokens = {i: t for t, i in self.vocab.items()}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.pairs = forced_pairs(self.vocab, self.suffix)
         self.last = self.whole.model
         self.inner = BPE(self.vocab, merges)
-        self.fragments = BoundedCache(self._fragment, entries // 2)
+        self.fragments, self.finals = BoundedCache(self._fragment, entries // 8), BoundedCache(self._final, entries // 2)
         self.chunks = BoundedCache(self._chunk, entries)
 
-    def _fragment(self, key: tuple[str, bool]) -> list[int]:
-        text, final = key
-        return [t.id for t in (self.last if final else self.inner).tokenize(text)]
+    def _fragment(self, text: str) -> list[int]:
+        return [t.id for t in self.inner.tokenize(text)]
+
+    def _final(self, text: str) -> list[int]:
+        return [t.id for t in self.last.tokenize(text)]
 
     def pre_token(self, piece: str) -> list[int]:
         """Ids of one pre-token in the byte alphabet, cut at its forced boundaries."""
         pairs = self.pairs
+        if pairs.issuperset(map(add, piece, piece[1:])):  # no pair is a certain cut
+            return self.finals[piece]
         cuts = [k for k, (a, b) in enumerate(zip(piece, piece[1:], strict=False), 1) if a + b not in pairs]
-        if not cuts:
-            return self.fragments[piece, True]
         ids: list[int] = []
-        for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True):
-            ids += self.fragments[piece[a:b], b == len(piece)]
-        return ids
+        for a, b in zip([0, *cuts], cuts, strict=False):
+            ids += self.fragments[piece[a:b]]
+        return ids + self.finals[piece[cuts[-1] :]]
 
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
         """(number of ids, ids as text, tokens as text) of a run without white space."""
         low = chunk.lower()
-        if PLAIN.match(chunk) and PLAIN.match(low):
+        if chunk.isascii() and chunk.isalpha():
+            pieces = [low]
+        elif PLAIN.match(chunk) and PLAIN.match(low):
             pieces = [byte_alphabet(p) for p in _PIECE.findall(low)]
         else:
             pieces = [p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(chunk))]
-        ids: list[int] = []
-        for piece in pieces:
-            ids += self.pre_token(piece)
-        name = self.names
-        return len(ids), " ".join([name[i][0] for i in ids]), " ".join([name[i][1] for i in ids])
+        ids = self.pre_token(pieces[0]) if len(pieces) == 1 else [i for piece in pieces for i in self.pre_token(piece)]
+        numbers, tokens = self.numbers, self.tokens
+        return len(ids), " ".join([numbers[i] for i in ids]), " ".join([tokens[i] for i in ids])
 
     def encode(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, ids joined by blanks, decoded text)."""
@@ -123,6 +127,7 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False, id_col:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kept_encoder(path)
+        claim(coder.chunks, coder.fragments, coder.finals)
 
         def found():
             for i, text in rows(batches):

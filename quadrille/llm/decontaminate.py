@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import emit, rows, sliced
+from ._common import claim, emit, rows, sliced
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -105,6 +105,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_byt
         held = sc.broadcast(Windows([(r[0], r[1]) for r in block.toLocalIterator()], window))
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            claim()
             windows = held.value
             for b in sliced(batches):
                 old_w, old_i = (b.column(b.schema.get_field_index(n)).to_pylist() for n in ("_hit_words", "_hit_items"))

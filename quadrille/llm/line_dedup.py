@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import emit, fresh_path, drop_path, materialize, rows, sliced, with_ids
+from ._common import claim, drop_path, emit, fresh_path, materialize, rows, sliced, with_ids
 
 MIN_WORDS = 10
 _SEQ = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("line", pa.list_(pa.int32())), ("key", pa.list_(pa.binary())), ("words", pa.list_(pa.int32()))])
@@ -46,6 +46,8 @@ def line_sequences(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, and for each line with words its number, key and word count."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
+
         def found():
             for i, text in rows(batches):
                 line, key, n = [], [], []

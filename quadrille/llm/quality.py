@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import emit, rows, sliced
+from ._common import claim, emit, rows, sliced
 
 MAX_TRAIN = 16_000
 STOP = frozenset("the of and to in is that it for was on are with as be at by this have from or an they which you a der die und das ist in den von zu mit sich des auf für nicht ein eine el la de que y en los se las por un con una su para es le les et des du est une dans qui pour au".split())
@@ -182,6 +182,7 @@ def with_score(docs: DataFrame, model: Trees, name: str = "score") -> DataFrame:
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for b in sliced(batches):
             x = np.array([statistics(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held.value.score(x), pa.float64())], names=[*b.schema.names, name])
