@@ -9,10 +9,10 @@ standard errors below the threshold leave. The rest are confirmed on the full se
 
 Hot groups: equal sets are one node from the start (grouped by a 128-bit digest, before
 the shuffle). In a bucket, a set is compared with those that no link has reached yet, and
-only a spanning forest of the plausible links is kept, never all pairs. The components
+only one edge from each member to the smallest one of its group is kept, never all pairs. The components
 of these forests are candidate clusters; every true link joins members of one cluster.
-In a cluster links are confirmed on the full sets, again as a spanning forest, which has
-the components of all links. Buckets and clusters beyond a fixed size are dealt in pairs
+In a cluster links are confirmed on the full sets, again with one edge for each member, which
+gives the components of all links. Buckets and clusters beyond a fixed size are dealt in pairs
 of blocks to different tasks, so none of them meets in one task and no pair is left out.
 Buckets, links and components stay distributed.
 
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BoundedCache, drop_path, emit, fresh_path, materialize, rows
+from ._common import BoundedCache, claim, drop_path, emit, fresh_path, materialize, rows
 
 HASHES, BAND = 128, 4
 _BANDS = HASHES // BAND
@@ -42,7 +42,7 @@ _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _M = np.uint64(0x9E3779B97F4A7C15)
-_words: BoundedCache = BoundedCache(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
+_words: BoundedCache = BoundedCache(lambda w: xxhash.xxh3_64_intdigest(w), 100_000)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -86,7 +86,7 @@ def signature(best: np.ndarray) -> tuple[list[int], list[int]]:
     return key.view(np.int64).tolist(), np.concatenate(planes).tolist()
 
 
-_FEAT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
+_FEAT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("key", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -94,18 +94,20 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def features(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size of the set, digest of the set, band keys, packed signature."""
+    """doc_id, size of the set, digest of the set, hash of the text, band keys, packed signature."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_words)
+
         def found():
-            for i, text in rows(batches):
+            for i, text, key in rows(batches):
                 s = shingles(text, n)
                 bands, sig = signature(minima(s)) if len(s) else ([], [])
-                yield i, len(s), _digest(s), bands, sig
+                yield i, len(s), _digest(s), key, bands, sig
 
         return emit(found(), _FEAT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, bands array<bigint>, sig array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key")).mapInArrow(run, "doc_id long, n long, digest binary, key long, bands array<bigint>, sig array<bigint>")
 
 
 def _estimates(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -115,30 +117,35 @@ def _estimates(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (1 - other / HASHES - 0.25) / 0.75
 
 
-def _grow(n: np.ndarray, sig: np.ndarray, percent: int, least: float, sure=None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among some sets: each set is compared once with
-    those not reached yet, so a group that hangs together costs little more than its size
-    and never gives more links than members. ``sure(i, candidates)`` confirms links."""
-    order, left, out = [], np.arange(len(n)), []
-    for seed in range(len(n)):
-        if not len(left):
-            break
-        if left[0] != seed:
-            continue  # reached before
-        left, order = left[1:], [seed]
+def _grow(n: np.ndarray, sig: np.ndarray, percent: int, least: float, sure=None) -> list[list[int]]:
+    """The components of the links among some sets, of two members or more: each set is
+    compared once with those not reached yet, so a group that hangs together costs little
+    more than its size. ``sure(i, candidates)`` confirms links."""
+    left, out = np.arange(len(n)), []
+    while len(left):
+        seed, left = int(left[0]), left[1:]
+        order, group = [seed], [seed]
         while order and len(left):
             i = order.pop()
             m = n[left]
             near = (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])) & (_estimates(sig[left], sig[i]) >= least)
             if sure is not None and near.any():
                 near[near] = sure(i, left[near])
-            for j in left[near].tolist():
-                out.append((i, j))
-                order.append(j)
+            order += left[near].tolist()
+            group += left[near].tolist()
             left = left[~near]
+        if len(group) > 1:
+            out.append(group)
     return out
 
 
+def _star(nodes: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Edges from the smallest node of a group to the others: groups of several bands that
+    have their smallest node in common give the same edges."""
+    root = min(nodes)
+    return ((root, x) for x in nodes if x != root)
+
+
 def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Rows of sorted batches, by equal values of the first ``keys`` columns."""
     held: list[tuple] = []
@@ -185,7 +192,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, digest for every row: documents with
+    """doc_id, n_shingles, component_id, kept, key (hash of the text) for every row: documents with
     ``100 * shared >= percent * union`` are linked, and a component is what links reach."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie in 50..100: the bands are chosen for that")
@@ -201,12 +208,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     band = uniq.select(F.col("digest").alias("node"), "sig", "n", F.explode("bands").alias("band")).withColumn("one", F.lit(1))
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_words)
+
         def found():
             for g in _runs(batches, 3):
                 if len(g) > 1:
                     sig = np.array([r[5] for r in g], dtype=np.int64)
-                    for i, k in _grow(np.array([r[4] for r in g]), sig, percent, least):
-                        yield min(g[i][3], g[k][3]), max(g[i][3], g[k][3])
+                    for group in _grow(np.array([r[4] for r in g]), sig, percent, least):
+                        yield from _star([g[i][3] for i in group])
 
         return emit(found(), _EDGE, 20_000)
 
@@ -222,6 +231,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     full = full.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "node")
 
     def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_words)
+
         def found():
             for g in _runs(batches, 3):
                 node, size, sig, sets = [], [], [], []
@@ -246,8 +257,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
                     mark[parts[i]] = False
                     return 100 * both >= percent * (count[which] + count[i] - both)
 
-                for i, k in _grow(count, np.array(sig, dtype=np.int64), percent, least, sure):
-                    yield min(node[i], node[k]), max(node[i], node[k])
+                for group in _grow(count, np.array(sig, dtype=np.int64), percent, least, sure):
+                    yield from _star([node[i] for i in group])
 
         return emit(found(), _EDGE, 20_000)
 
@@ -255,25 +266,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     lab = components(edges, f"{folder}/components")
     by = lab.join(groups, lab["node"] == groups["digest"]).groupBy("label").agg(F.min("rep").alias("component")).join(lab, "label").select(F.col("node").alias("digest"), "component")
     by = groups.join(by, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = feat.select("doc_id", "n", "digest").join(by, "digest", "left")
+    out = feat.select("doc_id", "n", "digest", "key").join(by, "digest", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "digest")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "key")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id. Rows that repeat
     a doc_id with one set of shingles stay or go together."""
-    gone = near_duplicates(docs, n, percent).where("not kept").select(F.col("doc_id").alias("_mh_id"), "digest").distinct()
-
-    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_digest(shingles(t, n)) for t in text], pa.binary())], names=[*b.schema.names, "_mh_digest"])
-
-    ids = gone.groupBy("_mh_id").agg(F.collect_set("digest").alias("_mh_sets"))
-    names = docs.columns
-    j = docs.join(ids, docs["doc_id"].cast("long") == F.col("_mh_id"), "left")
-    plain = j.where("_mh_id is null").select(*names)
-    doubt = j.where("_mh_id is not null")
-    doubt = doubt.mapInArrow(keys, doubt.select("*", F.lit(None).cast("binary").alias("_mh_digest")).schema).where("not array_contains(_mh_sets, _mh_digest)").select(*names)
-    return plain.unionByName(doubt)
+    gone = near_duplicates(docs, n, percent).where("not kept").select(F.col("doc_id").alias("_mh_id"), F.col("key").alias("_mh_key")).distinct()
+    mine = docs["doc_id"].cast("long") == gone["_mh_id"]
+    return docs.join(gone, mine & (F.xxhash64(docs["text"].cast("string")) == gone["_mh_key"]), "left_anti")

@@ -62,7 +62,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=3, percent=85).drop("digest")
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=3, percent=85).drop("key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_binary_records, op3_decontamination, op4_line_dedup, op5_bpe, op6_license_scan, op7_warc, op8_quality, op9_html_extraction, op10_minhash)}
