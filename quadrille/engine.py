@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import results
 from .functions.scalar import QL
-from .functions.terms import E, constant, convert, lit_fields, nothing, ref_iri, struct, to_term
+from .functions.terms import E, compare_const, constant, convert, lit_fields, nothing, ref_iri, struct, to_term
 from .operators import frames as fr
 from .operators import paths, spatial
 from .operators.frames import Frame, column_name, frame
@@ -120,27 +120,16 @@ class Engine:
         path, kinds = self.views[name]
         return Frame(self.spark.read.parquet(path), {v: E(F.col(column_name(v)), k, True) for v, k in kinds.items()})
 
-    def _view_rows(self, name: str, wanted: dict[str, Any], own: Frame | None = None) -> Frame:
-        from .sources.base import match
-
+    def _view_rows(self, name: str, wanted: dict[str, Any]) -> Frame:
         v = self.view(name)
-        for c in wanted:
+        out, loose = v.df, {}
+        for c, x in wanted.items():
             if c not in v.env:
                 raise SparqlError(f"view {name} has no column {c}")
-        out = v.df
-        pairs, loose = [], {}
-        for c, x in wanted.items():
-            e = E(v.col(c), v.env[c].kind, False)
             if isinstance(x, Var):
                 loose[x.name] = E(v.col(c), v.env[c].kind, True)
             else:
-                pairs.append((x, e))
-        if pairs:
-            for x, e in pairs:
-                from .functions.terms import compare_const
-
-                out = out.where(compare_const(e, x))
-        del match
+                out = out.where(compare_const(E(v.col(c), v.env[c].kind, False), x))
         return frame(out, loose)
 
     # -- special predicates
@@ -367,6 +356,33 @@ class Engine:
         self._new(self._store().quads.select("s", "p", "o", "g").unionByName(read_rdf(self.spark, path, graph)))
         return self._store()
 
+    # -- graphs as documents: what the Graph Store Protocol asks for
+    def get_graph(self, graph: str = DEFAULT) -> DataFrame:
+        """s, p, o of one graph."""
+        return self._store().quads.where(F.col("g") == graph).select("s", "p", "o")
+
+    def has_graph(self, graph: str = DEFAULT) -> bool:
+        return not self.get_graph(graph).limit(1).isEmpty()
+
+    def put_graph(self, path: str, graph: str = DEFAULT) -> QuadStore:
+        """Replaces a graph by the triples of a file."""
+        rest = self._store().quads.where(F.col("g") != graph).select("s", "p", "o", "g")
+        self._new(rest.unionByName(read_rdf(self.spark, path, graph)))
+        return self._store()
+
+    def post_graph(self, path: str, graph: str = DEFAULT) -> QuadStore:
+        """Adds the triples of a file to a graph."""
+        return self.load(path, graph)
+
+    def delete_graph(self, graph: str = DEFAULT) -> QuadStore:
+        self._new(self._store().quads.where(F.col("g") != graph).select("s", "p", "o", "g"))
+        return self._store()
+
+    def explain(self, text: str) -> str:
+        """The physical plan of a query."""
+        df = self.query(text)
+        return df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
     def _new(self, quads: DataFrame) -> None:
         self.source = QuadStore.write(quads)
 

@@ -184,3 +184,16 @@ def test_streaming_ingest(spark, tmp_path):
     ingest(stream, quads, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     e = Engine(spark, snapshot(spark, f"{tmp_path}/out"))
     assert e.query("SELECT ?s ?v { ?s <http://x/v> ?v }").count() == 5
+
+
+def test_graphs_as_documents(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text("@prefix : <http://x/> . :a :p 1 ; :q \"x\" .")
+    (tmp_path / "b.nt").write_text("<http://x/b> <http://x/p> <http://x/c> .\n")
+    e = Engine(spark)
+    e.put_graph(f"file://{tmp_path}/a.ttl", "http://x/g")
+    e.post_graph(f"file://{tmp_path}/b.nt", "http://x/g")
+    assert e.get_graph("http://x/g").count() == 3 and not e.has_graph()
+    e.put_graph(f"file://{tmp_path}/b.nt", "http://x/g")
+    assert e.get_graph("http://x/g").count() == 1
+    assert "Scan parquet" in e.explain("SELECT ?s { ?s <http://x/p> ?o }")
+    assert not e.delete_graph("http://x/g").quads.count()
