@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..shared import materialize
 
 BROADCAST_EDGES = 200_000
+BATCH = 10_000  # rows that a task hands on at a time
 
 
 def _collected(edges: DataFrame, limit: int) -> list[tuple] | None:
@@ -55,7 +56,7 @@ def _walk_local(held: list[tuple], start: DataFrame, lo: int, hi: int | None, ki
     shared = start.sparkSession.sparkContext.broadcast(dict(nxt))  # at most ``limit`` edges
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = shared.value
+        out, starts, ends = shared.value, [], []
         for p in parts:
             for s in p["a"]:
                 level = {s}
@@ -69,8 +70,13 @@ def _walk_local(held: list[tuple], start: DataFrame, lo: int, hi: int | None, ki
                     new = {y for x in todo for y in out.get(x, ())} - seen
                     seen |= new
                     todo = deque(new)
-                if seen:
-                    yield pd.DataFrame({"a": [s] * len(seen), "b": list(seen)})
+                starts += [s] * len(seen)
+                ends += seen
+                if len(ends) >= BATCH:
+                    yield pd.DataFrame({"a": starts, "b": ends})
+                    starts, ends = [], []
+        if ends:
+            yield pd.DataFrame({"a": starts, "b": ends})
 
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     return start.mapInPandas(run, schema)
@@ -118,10 +124,10 @@ def all_paths(edges: DataFrame, sources: list | None, targets: list | None, pair
     shared = edges.sparkSession.sparkContext.broadcast(dict(nxt))
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = shared.value
+        out, rows = shared.value, []
         for p in parts:
             for s in p["a"]:
-                rows, found, n = [], defaultdict(int), 0
+                found, n = defaultdict(int), 0
                 stack = [(s, iter(out.get(s, ())))]
                 path: list = []
                 on = {s}
@@ -142,12 +148,15 @@ def all_paths(edges: DataFrame, sources: list | None, targets: list | None, pair
                         found[b] += 1
                         rows += [(s, b, n, k, *x) for k, x in enumerate(path)]
                         n += 1
+                        if len(rows) >= BATCH:
+                            yield pd.DataFrame(rows, columns=schema.names).astype(object)
+                            rows = []
                     if max_depth is None or len(path) < max_depth:
                         stack.append((b, iter(out.get(b, ()))))
                     else:
                         on.discard(path.pop()[1])
-                if rows:
-                    yield pd.DataFrame(rows, columns=schema.names).astype(object)
+        if rows:
+            yield pd.DataFrame(rows, columns=schema.names).astype(object)
 
     return starts.mapInPandas(run, schema)
 

@@ -9,6 +9,7 @@ row has the type ``BASE/table``. A null is no triple. Each table is a graph of i
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -36,8 +37,28 @@ class Table:
     wkt: tuple[str, ...] = ()
 
 
+class LazyTables(Mapping):
+    """Tables by name, each opened when a query first needs it."""
+
+    def __init__(self, names: list[str], open_: Callable[[str], Table]):
+        self.names, self.open, self.held = list(names), open_, {}
+
+    def __getitem__(self, name: str) -> Table:
+        if name not in self.names:
+            raise KeyError(name)
+        if name not in self.held:
+            self.held[name] = self.open(name)
+        return self.held[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
 class RelationalGraph(Source):
-    def __init__(self, spark: SparkSession, tables: dict[str, Table], base: str = BASE):
+    def __init__(self, spark: SparkSession, tables: Mapping[str, Table], base: str = BASE):
         self.spark, self.tables, self.base = spark, tables, base
 
     def subject(self, name: str) -> E:
