@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import E
 from ..plans.parser import SparqlError
-from ..shared import fresh_path
+from ..shared import fresh_path, materialize
 from .frames import Frame, frame
 
 WORD = r"[^\p{L}\p{N}]+"
@@ -25,32 +25,33 @@ def tokens(text):
 
 @dataclass
 class TextIndex:
-    postings: DataFrame  # word, rec, score
+    postings: DataFrame  # word, rec, score (the count of the word, or what a words file says)
     entities: DataFrame  # rec, entity (IRI), score
     record_kind: str = "int"
+    scoring: str = "count"
+    records: float = 1.0
+    sizes: DataFrame | None = None  # rec, dl: words of a record, for BM25
+    mean: float = 1.0
+    b: float = 0.75
+    k: float = 1.75
 
     @classmethod
     def build(cls, docs: DataFrame, entities: DataFrame | None = None, scoring: str = "tfidf", b: float = 0.75, k: float = 1.75, record_kind: str = "int") -> TextIndex:
-        """``docs``: rec (bigint), text. ``entities``: rec, entity."""
+        """``docs``: rec (bigint), text. ``entities``: rec, entity. Counts are stored; TF-IDF
+        and BM25 are computed from the postings that a query reads."""
         if scoring not in ("count", "tfidf", "bm25"):
             raise SparqlError("scoring is count, tfidf or bm25")
-        spark = docs.sparkSession
         words = docs.select("rec", F.explode(tokens(F.col("text"))).alias("word"))
-        tf = words.groupBy("word", "rec").agg(F.count(F.lit(1)).alias("tf"))
-        score = F.col("tf").cast("double")
+        # Written once: the sample for sorting, and the sizes, read it again.
+        tf = materialize(words.groupBy("word", "rec").agg(F.count(F.lit(1)).cast("double").alias("score")), "tf")
+        made = cls._held(docs.sparkSession, tf, entities, record_kind)
+        made.scoring, made.b, made.k = scoring, b, k
         if scoring != "count":
-            n = docs.select("rec").distinct().count()
-            df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-            tf = tf.join(df, "word")
-            idf = F.log2(F.lit(float(max(n, 1))) / F.col("df"))
-            if scoring == "tfidf":
-                score = F.col("tf") * idf
-            else:
-                size = docs.select("rec", F.size(tokens(F.col("text"))).alias("dl")).where("dl > 0")
-                mean = size.agg(F.coalesce(F.avg("dl"), F.lit(1.0)).alias("m")).first()["m"]
-                tf = tf.join(size, "rec")
-                score = F.col("tf") * (k + 1) / (k * (1 - b + b * F.col("dl") / mean) + F.col("tf")) * idf
-        return cls._held(spark, tf.select("word", "rec", score.alias("score")), entities, record_kind)
+            made.records = float(max(docs.select("rec").distinct().count(), 1))
+        if scoring == "bm25":
+            made.sizes = materialize(tf.groupBy("rec").agg(F.sum("score").alias("dl")), "sizes")
+            made.mean = made.sizes.agg(F.coalesce(F.avg("dl"), F.lit(1.0)).alias("m")).first()["m"]
+        return made
 
     @classmethod
     def from_words(cls, spark: SparkSession, path: str, record_kind: str = "int") -> TextIndex:
@@ -70,6 +71,17 @@ class TextIndex:
             entities = entities.withColumn("score", F.lit(1.0))
         return cls(spark.read.schema(postings.schema).parquet(path), entities, record_kind)
 
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        """Postings of some words, with their final scores."""
+        if self.scoring == "count":
+            return rows
+        rows = rows.join(rows.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word")
+        tf, idf = F.col("score"), F.log2(F.lit(self.records) / F.col("df"))
+        if self.scoring == "tfidf":
+            return rows.select("word", "rec", (tf * idf).alias("score"))
+        rows = rows.join(self.sizes, "rec")
+        return rows.select("word", "rec", (tf * (self.k + 1) / (self.k * (1 - self.b + self.b * F.col("dl") / self.mean) + tf) * idf).alias("score"))
+
     def word(self, text_var: str, word: str, score: str | None, matched: str | None = None) -> Frame:
         w = word.lower()
         cols = {text_var: E(F.col("rec"), self.record_kind, False)}
@@ -80,6 +92,7 @@ class TextIndex:
         else:
             df = self.postings.where(F.col("word") == w)
         if score:
+            df = self._scored(df)
             cols[score] = E(F.col("score"), "dbl", False)
         return frame(df, cols)
 
