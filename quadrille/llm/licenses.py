@@ -1,6 +1,7 @@
 """Licence scan by Dice coefficient over word bigrams, in DataFrame functions only.
 
-Each line of a text, and each whole text of several lines, is a unit. A unit is
+Each line of a text, and each whole text of several lines, is a unit; so is the run of
+words, inside a line or across lines, that is nearest to a template. A unit is
 normalised (lower case; runs of letters and digits are words), and its distinct word
 bigrams are compared with those of each licence template:
 ``dice = 2 * shared / (bigrams of the unit + bigrams of the template)``.
@@ -9,16 +10,24 @@ Size bounds prune the templates of a unit before any bigram is built: a Dice coe
 of at least ``t`` needs ``a / b`` within ``[t / (2 - t), (2 - t) / t]``. The number of
 words bounds the number of distinct bigrams from above, so long units that cannot match
 leave by counting alone where they are below a bound, and by their distinct bigrams where
-they are above. Templates are a constant table of this module, so they are literals of
+they are above. Runs are sought only in texts with one of a few words (``anchors``) that
+no match can lack all of, and for the templates of which the text has bigrams enough: a
+match shares at least ``t / (2 - t)`` of the template's. The best run begins and ends with
+a bigram of its template, so these are the only ends tried, up to ``(2 - t) / t`` times
+the template's length. Templates are a constant table of this module, so they are literals of
 the plan; nothing is broadcast and nothing is shuffled.
 
 Defined results: null, empty and one-word units have no bigrams and match nothing. Of
 equally good templates the smallest name wins, of equally good lines the first; a line
-wins over the whole text. Documents without a match have null licence, score and unit.
+wins over the whole text, and both over a run. A text that matches as a whole has no runs.
+A run that overlaps a matching line counts only if it holds that line and more: else it is
+the notice that the line stands for. The best run left (first of equals) is one unit, if it
+matches. ``oracle`` compares lines and whole texts only. Documents without a match have null licence, score and unit.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -84,13 +93,27 @@ def template_bigrams(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple
     return found
 
 
+def anchors(templates: list[tuple[str, str]], low: float) -> list[str]:
+    """Words of which every run with ``low`` of the bigrams of a template has at least one."""
+    found = set()
+    for _, b in template_bigrams(templates):
+        left, need = {tuple(x.split()) for x in b}, max(1, math.ceil(len(b) * low - 1e-9))
+        words = sorted({w for x in left for w in x})
+        while len(left) >= need:
+            best = max(words, key=lambda w: (any(w in x for x in left), min(len(w), 6), sum(w in x for x in left), w))
+            found.add(best)
+            left = {x for x in left if best not in x}
+    return sorted(found)
+
+
 def _sql_text(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, license, dice, unit (line number from 0, or -1 for the whole text), n_units
-    (units within the size bounds of any template), n_matches (units with a match)."""
+    """doc_id, license, dice, unit (line number from 0, -1 for the whole text, or -2 for a run),
+    n_units (units within the size bounds of any template; a run counts if it matches), n_matches
+    (units with a match)."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -116,9 +139,46 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list
     best = "aggregate(array(" + ", ".join(scores) + "), struct(0D as dice, '' as license), (x, y) -> if(y.dice > x.dice or (y.dice = x.dice and y.dice > 0D and y.license < x.license), y, x))"
     d = d.withColumn("scored", F.expr(f"transform(units, u -> struct(u.k as k, {best} as best))"))
     d = d.withColumn("hits", F.expr(f"filter(scored, x -> x.best.dice >= {threshold - 1e-12!r})"))
+    d = _with_run(d, threshold, templates)
     order = "(x, y) -> if(x.k is null or y.best.dice > x.best.dice, y, x)"
+    d = d.withColumn("hits", F.expr("if(run is null, hits, concat(hits, array(struct(-2 as k, struct(run.dice as dice, run.license as license) as best))))"))
     d = d.withColumn("top", F.expr(f"aggregate(hits, cast(null as struct<k:int,best:struct<dice:double,license:string>>), {order})"))
-    return d.select("doc_id", F.col("top.best.license").alias("license"), F.col("top.best.dice").alias("dice"), F.col("top.k").cast("long").alias("unit"), F.size("units").cast("long").alias("n_units"), F.size("hits").cast("long").alias("n_matches"))
+    n_units = (F.size("units") + F.col("run").isNotNull().cast("int")).cast("long")
+    made = F.struct(F.col("top.best.license").alias("license"), F.col("top.best.dice").alias("dice"), F.col("top.k").cast("long").alias("unit"), n_units.alias("n_units"), F.size("hits").cast("long").alias("n_matches"))
+    # A filter on the result does not pass a generator, so that it cannot repeat all of the above.
+    return d.select("doc_id", F.inline(F.array(made)))
+
+
+def _with_run(d: DataFrame, threshold: float, templates: list[tuple[str, str]]) -> DataFrame:
+    """``d`` with ``run``: dice and license of the best run of words that matches, or null."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    table = []
+    for (name, b), (_, text) in sorted(zip(template_bigrams(templates), templates, strict=True), key=lambda x: x[0][0]):
+        most = int((len(re.findall(r"[a-z0-9]+", text.lower())) - 1) * high + 1e-9)
+        table.append(f"struct({_sql_text(name)} as license, {max(1, math.ceil(len(b) * low - 1e-9))} as need, {most} as most, array({', '.join(map(_sql_text, b))}) as b)")
+    every = ", ".join(map(_sql_text, sorted({x for _, b in template_bigrams(templates) for x in b})))
+    words = anchors(templates, low)
+    # Short words are parts of many others, so these are compared as whole words.
+    maybe = [f"contains(low, {_sql_text(w)})" for w in words if len(w) > 4]
+    if short := "|".join(w for w in words if len(w) <= 4):
+        maybe.append(f"low rlike {_sql_text(f'(?<![a-z0-9])(?:{short})(?![a-z0-9])')}")
+    maybe = " or ".join(maybe)
+    d = d.withColumn("low", F.expr("lower(coalesce(text, ''))"))
+    d = d.withColumn("maybe", F.expr(f"({maybe}) and not exists(hits, x -> x.k = -1)"))
+    # Words by line, their bigrams over line ends, and the first and last word of matching lines.
+    d = d.withColumn("by_line", F.expr("if(maybe, transform(lines, s -> regexp_extract_all(s, '[a-z0-9]+', 0)), array())"))
+    d = d.withColumn("w", F.expr("flatten(by_line)"))
+    d = d.withColumn("seq", F.expr("if(size(w) > 1, transform(slice(w, 2, size(w) - 1), (x, p) -> concat(w[p], ' ', x)), array())"))
+    d = d.withColumn("known", F.expr(f"array_intersect(seq, array({every}))"))
+    d = d.withColumn("near", F.expr(f"if(size(known) = 0, array(), filter(array({', '.join(table)}), t -> size(array_intersect(known, t.b)) >= t.need))"))
+    d = d.withColumn("taken", F.expr("if(size(near) = 0, array(), transform(hits, x -> struct(aggregate(slice(by_line, 1, x.k), 0, (n, l) -> n + size(l)) as a, aggregate(slice(by_line, 1, x.k + 1), -1, (n, l) -> n + size(l)) as z)))"))
+    d = d.withColumn("near", F.expr("transform(near, t -> struct(t as t, filter(transform(seq, (x, p) -> if(array_contains(t.b, x), p, -1)), p -> p >= 0) as pos))"))
+    # A run goes from word i to word j + 1. Of one start, the first of the best ends is kept.
+    ends = "filter(slice(n.pos, r + 1, n.t.most), (j, q) -> j - i < n.t.most and q + 1 >= n.t.need and not exists(taken, x -> i <= x.z and j + 1 >= x.a and not (i <= x.a and j + 1 >= x.z and j + 1 - i > x.z - x.a)))"
+    score = "transform(array(array_distinct(slice(seq, i + 1, j - i + 1))), b -> 2D * size(array_intersect(b, n.t.b)) / (size(b) + size(n.t.b)))[0]"
+    best = f"coalesce(array_max(transform({ends}, j -> {score})), 0D)"
+    d = d.withColumn("runs", F.expr(f"flatten(transform(near, n -> transform(n.pos, (i, r) -> struct({best} as dice, n.t.license as license))))"))
+    return d.withColumn("run", F.expr(f"aggregate(runs, cast(null as struct<dice:double,license:string>), (x, y) -> if(y.dice >= {threshold - 1e-12!r} and (x is null or y.dice > x.dice), y, x))"))
 
 
 def oracle(threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> str:

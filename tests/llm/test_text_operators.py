@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -238,6 +239,43 @@ def test_op6_query(spark, tmp_path):
     same(queries.op6_license_scan(spark, sf), connect_dir(sf), queries.ORACLES["op6_license_scan"])
 
 
+def slow_run(text):
+    """The best Dice of any run of words, by trying all of them."""
+    w, best = re.findall("[a-z0-9]+", text.lower()), (0.0, "")
+    seq = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    for name, b in sorted(licenses.template_bigrams(), key=lambda x: x[0]):
+        b = set(b)
+        for i in range(len(seq)):
+            have, same_ = set(), 0
+            for x in seq[i : i + 300]:
+                same_ += x in b and x not in have
+                have.add(x)
+                if 2 * same_ / (len(have) + len(b)) > best[0]:
+                    best = (2 * same_ / (len(have) + len(b)), name)
+    return best if best[0] >= licenses.THRESHOLD else (None, None)
+
+
+def test_license_runs(spark):
+    rng, fill = random.Random(3), lambda n: " ".join(rng.choice(["under", "the", "software", "license", "of", *(f"w{rng.randrange(999)}" for _ in range(5))]) for _ in range(n))
+    texts = []
+    for grant in (licenses._MIT, licenses._ISC, licenses._APACHE, licenses._GPL):
+        w = grant.split()
+        texts.append("\n".join([fill(60), *(" * " + " ".join(w[k : k + 9]) for k in range(0, len(w), 9)), fill(70), fill(80)]))
+        texts.append("\n".join([fill(9), *(" ".join(["x", *w[k : k + 13]]) for k in range(0, len(w), 13)), fill(300)]))
+        texts.append(fill(100) + "\n" + "\n".join(w[: len(w) // 3]) + "\n" + fill(100))
+    texts += ["This project is licensed under the MIT License.", f"{fill(40)} is released\nunder the MIT\nlicense {fill(40)}", "The rights are reserved by all of us, and this is long enough text"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        dice, name = slow_run(t)
+        assert (got[k]["license"], got[k]["dice"]) == (name, pytest.approx(dice) if name else None), t
+        assert got[k]["unit"] == (-2 if name else None)
+    assert [got[k]["license"] for k in (0, 3, 6, 9, 12, 13, 14)] == ["MIT", "ISC", "Apache-2.0", "GPL-3.0", "MIT", "MIT", None]
+    # What a line stands for is no run too; a grant around a line is.
+    two = ["prose of some length here\nThis work is licensed under the GNU General Public License, version 3.\nand more prose of some length", f"{fill(50)}\nLicensed under the Apache License, Version 2.0\n" + "\n".join(licenses._APACHE.split()[8:]) + f"\n{fill(50)}"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, two)).collect()}
+    assert (got[0]["unit"], got[0]["n_matches"]) == (1, 1) and (got[1]["license"], got[1]["unit"], got[1]["n_matches"]) == ("Apache-2.0", 1, 2)
+
+
 def connect_dir(sf):
     import duckdb
 
