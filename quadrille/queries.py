@@ -28,11 +28,13 @@ def engine(spark: SparkSession, sf_dir: str, *names: str) -> Engine:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TEXTS: dict[str, str] = {}
 
 
 def _q(name: str, sparql: str, sql: str | None = None, tables: tuple[str, ...] = ()) -> None:
     """Registers a query; ``tables``: those that variable predicates range over."""
     QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, *tables).query(sparql)
+    TEXTS[name] = sparql
     if sql:
         ORACLES[name] = sql
 
@@ -256,6 +258,11 @@ _text("text_entity", "count", 'SELECT ?e (COUNT(?d) AS ?n) WHERE { ?d ql:contain
 _text("textlimit", "count", 'SELECT ?e ?d ?ql_score_s WHERE { SERVICE textSearch: { ?d textSearch:contains ?c . ?c textSearch:word "and" ; textSearch:score ?ql_score_s . ?d textSearch:contains ?f . ?f textSearch:entity ?e } } TEXTLIMIT 2', " SELECT 'http://example.org/t/source/' || source AS e, 'http://example.org/t/documents/' || doc_id AS d, CAST(tf AS DOUBLE) AS ql_score_s FROM tf JOIN documents USING (doc_id) WHERE word = 'and' QUALIFY row_number() OVER (PARTITION BY source ORDER BY tf DESC, doc_id DESC) <= 2")
 _q("has_word", 'SELECT ?w (COUNT(*) AS ?n) WHERE { ?o ql:has-word ?w } GROUP BY ?w', r"SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(n_name), '[^\p{L}\p{N}]+')) AS w FROM nation UNION ALL SELECT unnest(string_split_regex(lower(r_name), '[^\p{L}\p{N}]+')) FROM region) WHERE w <> '' GROUP BY 1", ("nation", "region"))
 
+#: The same over every table, without SQL twins; tests compare with brute force.
+WHOLE = ("scan_var_predicate", "path_negated", "has_predicate", "predicate_counts", "graph_var", "has_word")
+for _name in WHOLE:
+    _q(f"{_name}_all", TEXTS[_name])
+
 # -- space: points made of keys
 _A = 'BIND(STRDT(CONCAT("POINT(", STR(((?k * 7919) - 1000 * FLOOR((?k * 7919) / 1000)) * 0.36 - 180), " ", STR(((?k * 104729) - 1000 * FLOOR((?k * 104729) / 1000)) * 0.17 - 85), ")"), geo:wktLiteral) AS ?g)'
 _PT = "((({0} * 7919) % 1000) * 0.36::DOUBLE - 180) AS x, ((({0} * 104729) % 1000) * 0.17::DOUBLE - 85) AS y"

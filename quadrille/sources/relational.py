@@ -150,8 +150,9 @@ class RelationalGraph(Source):
         for n in names:
             cols = self.columns(n)
             s = convert(self.subject(n), kind)
+            # Subjects come before the rows are spread: a numbered subject is one for all its triples.
             pairs = F.array(*[F.struct(F.lit(p).alias("p"), to_term(e).alias("o")) for p, e in cols.items()])
-            df = self.tables[n].df.select(s.col.alias("s"), F.explode(pairs).alias("x"), F.lit(f"{self.base}graph/{n}").alias("g")).select("s", "x.p", "x.o", "g").where("o is not null")
+            df = self.tables[n].df.select(s.col.alias("s"), pairs.alias("x")).select("s", F.explode("x").alias("x"), F.lit(f"{self.base}graph/{n}").alias("g")).select("s", "x.p", "x.o", "g").where("o is not null")
             out = df if out is None else out.unionByName(df)
         if out is None:
             out = self.spark.range(0).select(F.lit("").alias("s"), F.lit("").alias("p"), struct().alias("o"), F.lit("").alias("g"))
