@@ -87,6 +87,11 @@ _q(
     "SELECT ?k ?s WHERE { ?c customer:c_custkey ?k FILTER(?k <= 30) OPTIONAL { ?c customer:c_mktsegment ?s ; customer:c_acctbal ?b FILTER(?b > 5000) } { SELECT DISTINCT ?s WHERE { ?d customer:c_mktsegment ?s } } }",
     "WITH a AS (SELECT c_custkey AS k, CASE WHEN c_acctbal > 5000 THEN c_mktsegment END AS s FROM customer WHERE c_custkey <= 30), m AS (SELECT DISTINCT c_mktsegment AS s FROM customer) SELECT k, m.s FROM a JOIN m ON a.s IS NULL OR a.s = m.s",
 )
+_q(
+    "optional_then_join_undef_all",
+    "SELECT ?k ?s WHERE { ?c customer:c_custkey ?k OPTIONAL { ?c customer:c_mktsegment ?s ; customer:c_acctbal ?b FILTER(?b > 5000) } { SELECT DISTINCT ?s WHERE { ?d customer:c_mktsegment ?s } } }",
+    "WITH a AS (SELECT c_custkey AS k, CASE WHEN c_acctbal > 5000 THEN c_mktsegment END AS s FROM customer), m AS (SELECT DISTINCT c_mktsegment AS s FROM customer) SELECT k, m.s FROM a JOIN m ON a.s IS NULL OR a.s = m.s",
+)
 _q("minus_basic", "SELECT ?k WHERE { ?c customer:c_custkey ?k MINUS { ?o orders:ref-o_custkey ?c ; orders:o_totalprice ?t FILTER(?t > 300000) } }", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 _q("minus_disjoint", "SELECT ?n WHERE { ?x nation:n_name ?n MINUS { ?y region:r_name ?r } }", "SELECT n_name AS n FROM nation")
 _q("exists_semi", "SELECT ?k WHERE { ?c customer:c_custkey ?k FILTER EXISTS { ?o orders:ref-o_custkey ?c ; orders:o_orderstatus \"P\" } }", "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
