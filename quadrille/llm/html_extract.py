@@ -31,7 +31,9 @@ from ._common import emit, rows
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br caption search".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_SKIP = frozenset("script style textarea title xmp iframe noembed noframes noscript template head form button select option svg math canvas object audio video map datalist".split())
+_SKIP = frozenset("script style textarea title xmp iframe noembed noframes noscript template head button select option svg math canvas object audio video map datalist".split())
+#: What may stand in a head; any other start tag ends it.
+_IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes object".split())
 _CLOSES_P = _BLOCK - {"br", "body", "html"}
 _BAD_TAG = frozenset("nav footer aside header menu dialog search".split())
 _GOOD_TAG = frozenset("article main".split())
@@ -63,6 +65,8 @@ class _Node:
             for name, a, b, c in _ATTR.findall(attrs):
                 value, name = a or b or c, name.lower()
                 if name in ("class", "id"):
+                    if tag in ("html", "body"):  # says something of the page, not of its parts
+                        continue
                     bad |= bool(_BAD_WORD.search(value))
                     good |= bool(_GOOD_WORD.search(value))
                 elif name == "role":
@@ -131,6 +135,12 @@ def blocks(html: str | None) -> list[Block]:
             continue
         if tag in _BLOCK:
             flush()
+        if tag not in _IN_HEAD:  # the end tag of head may be left out
+            node = here
+            while node is not None and node.tag not in ("head", *_RAW, "template", "noscript", "svg", "math", "object"):
+                node = node.parent
+            if node is not None and node.tag == "head":
+                here = node.parent
         if tag in _VOID:
             continue
         if tag in _CLOSES_P or tag == "li":  # implied end tags

@@ -330,6 +330,23 @@ article, with <b>bold</b> and a <a href="/x">link</a> in it.<p>Second&nbsp;parag
 <footer>&copy; 2024 Example. All rights reserved.</footer></body></html>"""
 
 
+def test_html_open_head_form_and_page_class():
+    para = "Some words of running text. " * 8
+    want = "Title here " + para.strip() + " Short end."
+    inner = f"<article><h1>Title here</h1><p>{para}</p><p>Short end.</p></article>"
+    top = "<!DOCTYPE html><html><head><title>T</title><meta charset=utf-8><style>p{}</style>"
+    for page in (
+        f"{top}<body>{inner}</body></html>",
+        f"{top}{inner}",
+        f"{top}<noscript><img src=a></noscript><body>{inner}",
+        f"{top}</head><body><form id=aspnetForm action=x><input><select><option>One</select><button>Go</button><textarea>a</textarea>{inner}</form></body></html>",
+        f"{top}</head><body class='has-sidebar page nav-open'>{inner}</body></html>",
+        f"<html class='menu' id=legal><head></head><body id=side>{inner}",
+    ):
+        assert html_extract.extract(page) == want, page
+    assert html_extract.extract(f"{top}</head><body>{inner}<form class=search><label>Find</label><input><button>Go</button></form></body>") == want
+
+
 def test_html_page():
     want = "Head & line First paragraph of the article, with bold and a link in it. Second paragraph é. point one point two"
     assert html_extract.extract(PAGE) == want
