@@ -38,9 +38,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts benchmark passages out, and drops documents that were nothing else."""
-    left = decontaminate.remove_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
-    return left.where(F.col("text").isNull() | F.col("text").rlike(r"\S"))
+    """Cuts benchmark passages out, and drops documents that were nothing else. Texts that
+    were blank before lose nothing, so they stay."""
+    marked = docs.withColumn("_blank", ~F.col("text").rlike(r"\S"))
+    left = decontaminate.remove_hits(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    return left.where(F.col("text").isNull() | F.col("_blank") | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

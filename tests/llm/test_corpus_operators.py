@@ -213,6 +213,15 @@ def slow_pipeline(spark, d, sf):
     return out
 
 
+def test_benchmark_stage_keeps_what_was_blank(spark, tmp_path):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = docs(spark, [None, "", " \n\t", passage, f"before {passage} after", "clean words"])
+    left = corpus_pipeline.benchmark_stage(spark, d, str(tmp_path))
+    assert left.columns == d.columns
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 1, 2, 4, 5]
+
+
 def test_pipeline_equals_brute_force(spark):
     from quadrille.llm.bpe import kept_encoder
 
