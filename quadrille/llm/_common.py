@@ -10,7 +10,9 @@ import shutil
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -64,6 +66,55 @@ def with_ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id())
 
 
+def free_name(columns: Iterable[str], base: str) -> str:
+    """``base``, lengthened until no column begins with it: a safe name, and a safe prefix."""
+    while any(c.lower().startswith(base.lower()) for c in columns):
+        base += "_"
+    return base
+
+
+#: A key is hot with more rows than this and than one in ``HOT_KEYS`` of all, so that the hot
+#: keys are ``HOT_KEYS`` at most, whatever the size of the table.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
+
+def hot_from(total: int | None) -> int:
+    return max(HOT_ROWS, (total or 0) // HOT_KEYS)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Joins ``left`` with ``right``, which has one row for each key and tells in ``weight`` how
+    many rows of ``left`` have it (``right`` is read three times, so it should be a table).
+
+    Rows with a hot key get their values from a broadcast of the hot keys, of which there are
+    few by definition, and are dealt evenly, as rows with a null key are; all others meet their
+    key in a shuffle. So no task gets more than its share because of one key."""
+    if how not in ("inner", "left"):
+        raise ValueError("how is inner or left")
+    stats = right.agg(F.sum(weight), F.max(weight)).first()
+    most = hot_from(stats[0])
+    values = [c for c in right.columns if c not in (*keys, weight)]
+    p = free_name([*left.columns, *right.columns], "_sj")
+    spread = reduce(or_, [F.col(k).isNull() for k in keys])
+    if has_hot := (stats[1] or 0) > most:
+        named = [F.col(k).alias(f"{p}k{i}") for i, k in enumerate(keys)] + [F.col(v).alias(f"{p}h{i}") for i, v in enumerate(values)]
+        hot = F.broadcast(right.where(F.col(weight) > most).select(*named, F.lit(True).alias(f"{p}hot")))
+        left_in = left.join(hot, reduce(and_, [F.col(k) == F.col(f"{p}k{i}") for i, k in enumerate(keys)]), "left")
+        spread = F.coalesce(F.col(f"{p}hot"), F.lit(False)) | spread
+    else:
+        left_in = left
+    dealt = left_in.withColumn(f"{p}s", F.when(spread, F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long")))
+    rest = right.where(F.col(weight) <= most)
+    # Always 0, but not a literal, which the optimizer would take out of the join's keys.
+    zero = (F.col(weight) < 0).cast("long").alias(f"{p}s")
+    rest = rest.select(*keys, zero, *[F.col(v).alias(f"{p}v{i}") for i, v in enumerate(values)], (F.col(weight) >= 0).alias(f"{p}m"))
+    j = dealt.join(rest, [*keys, f"{p}s"], "left" if how == "left" or has_hot else "inner")
+    if how == "inner" and has_hot:
+        j = j.where(F.col(f"{p}hot") | F.col(f"{p}m"))
+    pick = lambda i: F.when(F.col(f"{p}hot"), F.col(f"{p}h{i}")).otherwise(F.col(f"{p}v{i}")) if has_hot else F.col(f"{p}v{i}")
+    return j.select(*left.columns, *[pick(i).alias(v) for i, v in enumerate(values)])
+
+
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     """Upper bounds (ascending, distinct) that split ``key`` into about ``buckets`` equal
     ranges. The list is as long as the number of buckets, never as the data."""
@@ -110,14 +161,17 @@ def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
 
-def emit(found: Iterable[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Packs rows into Arrow batches of at most ``size`` rows."""
+def emit(found: Iterable[tuple], schema: pa.Schema, size: int = 2000, weigh: Callable[[tuple], int] | None = None, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Packs rows into Arrow batches of at most ``size`` rows; with ``weigh`` (bytes of a row),
+    a batch also ends once its rows weigh ``most``."""
     held: list[tuple] = []
+    heavy = 0
     for r in found:
         held.append(r)
-        if len(held) >= size:
+        heavy += weigh(r) if weigh else 0
+        if len(held) >= size or heavy >= most:
             yield _batch(held, schema)
-            held = []
+            held, heavy = [], 0
     if held:
         yield _batch(held, schema)
 
@@ -154,26 +208,37 @@ def claim(*mine: BoundedCache) -> None:
 
 
 class BoundedCache(dict):
-    """A dictionary that makes missing values by ``make``. At ``limit`` entries it begins
-    anew, so a worker's memory stays bounded whatever the vocabulary of the corpus; words in
-    use come back soon, and a hit costs no more than in a plain dictionary."""
+    """A dictionary that makes missing values (strings, bytes or integers) by ``make``. Once keys and
+    values take about ``limit`` bytes it begins anew, and keys over ``longest`` characters are
+    never kept, so a worker's memory stays bounded whatever the corpus holds; words in use come
+    back soon, and a hit costs no more than in a plain dictionary."""
 
-    def __init__(self, make, limit: int):
-        self.make, self.limit = make, limit
+    def __init__(self, make, limit: int, longest: int = 64):
+        self.make, self.limit, self.longest, self.used = make, limit, longest, 0
         _caches.append(weakref.ref(self))
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) >= self.limit:
+        if len(key) > self.longest:
+            return value
+        size = 180 + len(key) + (0 if isinstance(value, int) else len(value))  # two objects and a slot
+        if self.used + size > self.limit:
             self.clear()
+        self.used += size
         self[key] = value
         return value
 
+    def clear(self):
+        super().clear()
+        self.used = 0
+
 
 #: Code points for which Python and the tokenizers library are sure to agree on classes,
 #: case and normal forms: ASCII and precomposed Latin letters.
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 PLAIN = re.compile(f"[!-~{LATIN}]*\\Z")
+#: The same for whole texts, with the usual white space.
+PLAIN_TEXT = re.compile(f"[ \t\n\r!-~{LATIN}]*\\Z")
 
 
 def _alphabet() -> dict[int, str]:

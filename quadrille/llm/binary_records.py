@@ -8,7 +8,8 @@ frame (u64), so that a reader can fetch records in any order.
 
 Documents are written in ascending doc_id: ids are cut into ranges, each range is sorted
 in one task and goes to one file. A null id comes first, repeated ids are ordered by
-text, a null text is an empty text (its record holds the end id alone). Writers use
+text, a null text is an empty text (its record holds the end id alone). Other columns are
+left behind, whatever their names. Writers use
 names of their own for each attempt, and only files listed in the manifest (a table that
 Spark commits) are read, so a lost or repeated task leaves no trace in the result.
 """
@@ -132,10 +133,11 @@ class ByteLevelEncoder:
     """Ids of a text as the tokenizers library gives them for a byte-level BPE file.
 
     Byte-level pre-tokens never cross from a non-blank into the blank after it, so the
-    words of a text are encoded apart by the library and kept in a bounded cache.
+    words of a text are encoded apart by the library and kept in caches of at most
+    ``cache_bytes`` together.
     Texts with unusual white space or special tokens go to the library whole."""
 
-    def __init__(self, path: str, entries: int = 800_000):
+    def __init__(self, path: str, cache_bytes: int = 256 << 20):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -144,8 +146,8 @@ class ByteLevelEncoder:
         self.split = self.whole.pre_tokenizer.pre_tokenize_str
         self.model = self.whole.model
         self.four = [k.to_bytes(4, "little") for k in range(self.whole.get_vocab_size(with_added_tokens=True))]
-        self.pieces = BoundedCache(self._piece, entries // 4)
-        self.words = BoundedCache(self._word, entries)
+        self.pieces = BoundedCache(self._piece, cache_bytes // 8)
+        self.words = BoundedCache(self._word, cache_bytes - cache_bytes // 8)
         self.caches = (self.pieces, self.words)
 
     def _piece(self, piece: str) -> bytes:

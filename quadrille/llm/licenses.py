@@ -23,6 +23,7 @@ wins over the whole text, and both over a run. A text that matches as a whole ha
 A run that overlaps a matching line counts only if it holds that line and more: else it is
 the notice that the line stands for. The best run left (first of equals) is one unit, if it
 matches. ``oracle`` compares lines and whole texts only. Documents without a match have null licence, score and unit.
+Repeated rows give a row each; other columns of the documents are left behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,12 +61,36 @@ public license as published by the free software foundation either version 3 of
 version this program is distributed in the hope that it will be useful but without any warranty without even the implied
 warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"""
 
+_LGPL = """this library is free software you can redistribute it and or modify it under the terms of the gnu lesser
+general public license as published by the free software foundation either version 3 of the license or at your option
+any later version this library is distributed in the hope that it will be useful but without any warranty without even
+the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license
+for more details"""
+_BSD_2 = """redistribution and use in source and binary forms with or without modification are permitted provided that the
+following conditions are met redistributions of source code must retain the above copyright notice this list of
+conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this
+list of conditions and the following disclaimer in the documentation and or other materials provided with the
+distribution"""
+_BSD_3 = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_END = """this software is provided by the copyright holders and contributors as is and any express or implied warranties
+including but not limited to the implied warranties of merchantability and fitness for a particular purpose are
+disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special
+exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use
+data or profits or business interruption however caused and on any theory of liability whether in contract strict
+liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised
+of the possibility of such damage"""
+_UNLICENSE = """this is free and unencumbered software released into the public domain anyone is free to copy modify publish
+use compile sell or distribute this software either in source code form or as a compiled binary for any purpose
+commercial or non commercial and by any means"""
+
 #: (name, normalised template). Notices of one line come first, then whole grants.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "licensed under the apache license version 2 0"),
     ("Apache-2.0", _APACHE),
     ("BSD-3-Clause", "licensed under the bsd 3 clause license"),
+    ("BSD-3-Clause", f"{_BSD_2} {_BSD_3} {_BSD_END}"),
     ("BSD-2-Clause", "licensed under the bsd 2 clause license"),
+    ("BSD-2-Clause", f"{_BSD_2} {_BSD_END}"),
     ("CC-BY-4.0", "licensed under cc by 4 0"),
     ("CC-BY-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("CC-BY-NC-4.0", "licensed under cc by nc 4 0"),
@@ -77,11 +102,13 @@ TEMPLATES: list[tuple[str, str]] = [
     ("GPL-3.0", _GPL),
     ("ISC", _ISC),
     ("LGPL-3.0", "this work is licensed under the gnu lesser general public license version 3"),
+    ("LGPL-3.0", _LGPL),
     ("MIT", "released under the mit license"),
     ("MIT", "licensed under the mit license"),
     ("MIT", _MIT),
     ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("Proprietary", "all rights reserved"),
+    ("Unlicense", _UNLICENSE),
 ]
 
 

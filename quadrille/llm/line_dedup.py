@@ -12,7 +12,9 @@ Suffixes whose prefix is unique leave the table at once. Two suffixes lie in one
 longest-common-prefix interval of depth ``m`` if their ranks by ``2^k <= m`` lines agree
 at both ends of the first ``m`` lines, so an interval is a group of equal
 ``(m, rank, rank)`` and its first member is the smallest position; groups are aggregated
-before the shuffle, so a very common line costs no more than a rare one.
+before the shuffle. A very common line still has a row for each of its places, but these
+rows are dealt evenly (``spread_join``), and which of them are later copies is told by
+leaving out the first of each group by its place, so no task sees all places of one line.
 
 How deep doubling must go does not depend on the data. Of a repeated run, the shortest
 stretches with ``min_words`` words that begin at each of its lines, and the one that ends
@@ -22,6 +24,8 @@ line that counts has a word. So depths up to ``min_words`` decide every line exa
 A text that is wholly equal to an earlier one is one run, so only the first of equal texts
 enters the doubling. Rows that repeat both doc_id and text are one document. Null and
 blank texts have no lines and stay as they are. A null doc_id comes before all others.
+Columns of ``docs`` but text and n_chars are handed on as they are, whatever their names;
+n_lines and n_deleted, where asked for, replace columns of these names.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import claim, drop_path, emit, fresh_path, materialize, rows, sliced, with_ids
+from ._common import claim, drop_path, emit, free_name, fresh_path, hot_from, materialize, rows, sliced, spread_join, with_ids
 
 MIN_WORDS = 10
 _SEQ = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("line", pa.list_(pa.int32())), ("key", pa.list_(pa.binary())), ("words", pa.list_(pa.int32()))])
@@ -88,7 +92,8 @@ def _stretches(n: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each distinct text that has more than one document or a line to delete:
+    """One row for each distinct text with ``min_words`` words that has more than one document
+    or a line to delete:
     text_key, first_id (smallest doc_id), copies, n_words, cut (numbers of deleted lines of
     the first document, ascending)."""
     if min_words < 1:
@@ -100,17 +105,17 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # The order of texts, which makes positions comparable: (d, i) for line i of text d.
     texts = materialize(with_ids(texts, ["doc_id", "text_key"], "d"), "texts", f"{folder}/texts")
     at = texts.select("d", F.posexplode("key").alias("i", "key"))
-    ranks = materialize(with_ids(at.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), ["key"], "r"), "rank", f"{folder}/rank0")
-    level = materialize(at.join(ranks, "key").select("d", "i", F.col("r").alias("r0")), "level", f"{folder}/level0")
+    ranks = materialize(with_ids(at.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["key"], "r"), "rank", f"{folder}/rank0")
+    level = materialize(spread_join(at, ranks, ["key"], "n").select("d", "i", F.col("r").alias("r0")), "level", f"{folder}/level0")
     levels, k = [level], 0
     while 2 ** (k + 1) <= min_words:
         here = f"r{k}"
         right = level.select("d", (F.col("i") - 2**k).alias("i"), F.col(here).alias("b"))
         pairs = level.select("d", "i", F.col(here).alias("a")).join(right, ["d", "i"])
         pairs = materialize(pairs, "pairs", f"{folder}/pairs{k}")
-        ranks = materialize(with_ids(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), ["a", "b"], "r"), "rank", f"{folder}/rank{k + 1}")
+        ranks = materialize(with_ids(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["a", "b"], "r"), "rank", f"{folder}/rank{k + 1}")
         k += 1
-        level = materialize(pairs.join(ranks, ["a", "b"]).select("d", "i", F.col("r").alias(f"r{k}")), "level", f"{folder}/level{k}")
+        level = materialize(spread_join(pairs, ranks, ["a", "b"], "n").select("d", "i", F.col("r").alias(f"r{k}")), "level", f"{folder}/level{k}")
         drop_path(spark, f"{folder}/pairs{k - 1}")
         levels.append(level)
 
@@ -129,11 +134,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         both = both.select("k", "d", "i", "m", "a", "b")
         hits = both if hits is None else hits.unionByName(both)
     hits = materialize(hits, "hits", f"{folder}/hits")
-    first = hits.groupBy("k", "m", "a", "b").agg(F.min(F.struct("d", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "m", "a", "b", "first")
-    later = hits.join(first, ["k", "m", "a", "b"]).where(F.struct("d", "i") > F.col("first"))
+    # All of a group but its first place; single hits are the first of their groups.
+    first = hits.groupBy("k", "m", "a", "b").agg(F.min(F.struct("d", "i")).alias("first")).select("first.d", "first.i", "m")
+    later = hits.select("d", "i", "m").join(first, ["d", "i", "m"], "left_anti")
     cut = later.select("d", F.explode(F.expr("sequence(i, i + m - 1)")).alias("i")).groupBy("d").agg(F.sort_array(F.collect_set("i")).alias("at"))
-    out = texts.join(cut, "d", "left").where("copies > 1 or at is not null")
-    out = out.select("text_key", F.col("doc_id").alias("first_id"), "copies", F.expr("aggregate(words, 0L, (x, w) -> x + w)").alias("n_words"), F.expr("transform(coalesce(at, array()), i -> line[i])").alias("cut"))
+    out = texts.join(cut, "d", "left").where("copies > 1 or at is not null").withColumn("n_words", F.expr("aggregate(words, 0L, (x, w) -> x + w)"))
+    out = out.where(F.col("n_words") >= min_words).select("text_key", F.col("doc_id").alias("first_id"), "copies", "n_words", F.expr("transform(coalesce(at, array()), i -> line[i])").alias("cut"))
     out = materialize(out, "cut", f"{folder}/cut")
     for name in ("hits", *(f"{x}{k}" for k in range(len(levels)) for x in ("rank", "level"))):
         drop_path(spark, f"{folder}/{name}")
@@ -143,31 +149,41 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """``docs`` with the later copies deleted from ``text`` (and ``n_chars`` counted anew
     where there is such a column). ``counts`` adds n_lines and n_deleted."""
-    cut = repeated_lines(docs, min_words).select(F.col("text_key").alias("_ld_key"), F.col("first_id").alias("_ld_first"), F.col("n_words").alias("_ld_words"), F.col("cut").alias("_ld_cut"))
+    if counts:
+        docs = docs.drop("n_lines", "n_deleted")
     names, schema = docs.columns, docs.schema
+    p = free_name([*names, "n_lines", "n_deleted"], "_ld")
+    cut = repeated_lines(docs, min_words).select(F.col("text_key").alias(f"{p}key"), F.col("first_id").alias(f"{p}first"), F.col("copies").alias(f"{p}copies"), F.col("cut").alias(f"{p}cut"))
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             text = b.column(b.schema.get_field_index("text")).to_pylist()
-            key = pa.array([None if t is None else xxhash.xxh3_128_digest(t) for t in text], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, key], names=[*b.schema.names, "_ld_key"])
-
-    keyed = docs.mapInArrow(keys, docs.select("*", F.lit(None).cast("binary").alias("_ld_key")).schema)
-    j = keyed.join(cut, "_ld_key", "left")
-    copy = F.col("_ld_first").isNotNull() & (F.col("_ld_words") >= min_words) & (F.col("doc_id") > F.col("_ld_first"))
-    copy = copy | (F.col("_ld_first").isNull() & F.col("_ld_cut").isNotNull() & (F.col("_ld_words") >= min_words) & F.col("doc_id").isNotNull())
+            data = [None if t is None else t.encode("utf-8", "surrogatepass") for t in text]
+            key = pa.array([None if t is None or len(t.split(None, min_words)) < min_words else xxhash.xxh3_128_digest(t) for t in data], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, key], names=[*b.schema.names, f"{p}key"])
+
+    keyed = docs.mapInArrow(keys, docs.select("*", F.lit(None).cast("binary").alias(f"{p}key")).schema)
+    # Later copies of very common texts need no more than the id of the first, which few rows
+    # tell; these copies, and texts that are too short to be cut, are dealt evenly.
+    most = hot_from(cut.agg(F.sum(f"{p}copies")).first()[0])
+    common = F.broadcast(cut.where(F.col(f"{p}copies") > most).select(F.col(f"{p}key").alias(f"{p}hot"), F.col(f"{p}first").alias(f"{p}of")))
+    keyed = keyed.join(common, F.col(f"{p}key") == F.col(f"{p}hot"), "left")
+    after = lambda first: F.coalesce(F.when(F.col(first).isNull(), F.col("doc_id").isNotNull()).otherwise(F.col("doc_id") > F.col(first)), F.lit(False))
+    keyed = keyed.withColumn(f"{p}late", F.col(f"{p}hot").isNotNull() & after(f"{p}of"))
+    keyed = keyed.withColumn(f"{p}s", F.when(F.col(f"{p}late") | F.col(f"{p}key").isNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long")))
+    j = keyed.join(cut.withColumn(f"{p}s", (F.col(f"{p}copies") < 0).cast("long")), [f"{p}key", f"{p}s"], "left")
+    copy = F.col(f"{p}late") | (F.col(f"{p}copies").isNotNull() & after(f"{p}first"))
     lines = F.split("text", "\n")
-    kept = F.array_join(F.expr("transform(filter(transform(split(text, '\\n'), (s, k) -> struct(s as s, k as k)), x -> not array_contains(_ld_cut, x.k)), x -> x.s)"), "\n")
+    kept = F.array_join(F.expr(f"transform(filter(transform(split(text, '\\n'), (s, k) -> struct(s as s, k as k)), x -> not array_contains({p}cut, x.k)), x -> x.s)"), "\n")
     blank = F.array_join(F.filter(lines, lambda s: s.rlike(r"^\s*$")), "\n")
-    copy = F.coalesce(copy, F.lit(False))
-    some = F.coalesce(F.size("_ld_cut"), F.lit(0)) > 0
-    text = F.when(copy, blank).when(some, kept).otherwise(F.col("text"))
-    out = j.withColumn("_ld_new", text)
+    some = F.coalesce(F.size(f"{p}cut"), F.lit(0)) > 0
+    out = j.withColumn(f"{p}new", F.when(copy, blank).when(some, kept).otherwise(F.col("text")))
     if counts:
         n = F.coalesce(F.size(F.filter(lines, lambda s: s.rlike(r"\S"))), F.lit(0)).cast("long")
-        out = out.withColumn("n_lines", n).withColumn("n_deleted", F.when(copy, n).when(some, F.size("_ld_cut").cast("long")).otherwise(F.lit(0).cast("long")))
-    cols = [F.col("_ld_new").cast(schema["text"].dataType).alias("text") if c == "text" else F.col(c) for c in names]
+        out = out.withColumn("n_lines", n).withColumn("n_deleted", F.when(copy, n).when(some, F.size(f"{p}cut").cast("long")).otherwise(F.lit(0).cast("long")))
+    new = F.col(f"{p}new")
+    cols = [new.cast(schema["text"].dataType).alias("text") if c == "text" else F.col(c) for c in names]
     if "n_chars" in names:
         kind = schema["n_chars"].dataType
-        cols[names.index("n_chars")] = F.when(F.col("_ld_new").isNull() | (F.col("_ld_new") == F.col("text")), F.col("n_chars")).otherwise(F.length("_ld_new").cast(kind)).alias("n_chars")
+        cols[names.index("n_chars")] = F.when(new.isNull() | (new == F.col("text")), F.col("n_chars")).otherwise(F.length(new).cast(kind)).alias("n_chars")
     return out.select(*cols, *(["n_lines", "n_deleted"] if counts else []))

@@ -8,7 +8,7 @@ share of equal minima, counted by bit operations and corrected for chance collis
 standard errors below the threshold leave. The rest are confirmed on the full sets.
 
 Hot groups: equal sets are one node from the start (grouped by a 128-bit digest, before
-the shuffle). In a bucket, a set is compared with those that no link has reached yet, and
+the shuffle), and joins by digest, bucket, node or label deal the rows of hot keys evenly. In a bucket, a set is compared with those that no link has reached yet, and
 only one edge from each member to the smallest one of its group is kept, never all pairs. The components
 of these forests are candidate clusters; every true link joins members of one cluster.
 In a cluster links are confirmed on the full sets, again with one edge for each member, which
@@ -20,7 +20,8 @@ Defined results: words are runs without ASCII white space, A-Z lower-cased; a te
 fewer words than a shingle is one shingle, its whole sequence; null and blank texts have
 an empty set, are linked with nothing, and are each their own component. Rows with equal
 doc_id and equal sets are one document. Null ids are smaller than none: a group's
-component is its smallest id that is not null.
+component is its smallest id that is not null. Other columns of the documents are left
+behind (``keep_one`` hands them on as they are), whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BoundedCache, claim, drop_path, emit, fresh_path, materialize, rows
+from ._common import BoundedCache, claim, drop_path, emit, fresh_path, materialize, rows, spread_join
 
 HASHES, BAND = 128, 4
 _BANDS = HASHES // BAND
@@ -42,7 +43,7 @@ _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _M = np.uint64(0x9E3779B97F4A7C15)
-_words: BoundedCache = BoundedCache(lambda w: xxhash.xxh3_64_intdigest(w), 100_000)
+_words: BoundedCache = BoundedCache(lambda w: xxhash.xxh3_64_intdigest(w), 20 << 20)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -158,12 +159,12 @@ def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]
         yield held
 
 
-def _blocked(df: DataFrame, key: str, size: str, node: str, most: int) -> DataFrame:
+def _blocked(df: DataFrame, key: str, size: str, node: str, most: int, path: str) -> DataFrame:
     """Deals the rows of each ``key`` to blocks of about ``most`` (summed ``size``), and each
     row to every pair of blocks that its own is part of: columns bi, bj. A key of one block
     has one pair, so only keys beyond ``most`` are replicated, and none meets in one task."""
-    count = df.groupBy(key).agg(F.sum(size).alias("_t"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select(key, F.expr(f"cast(ceil(_t / {most}) as int)").alias("_b"))
-    j = df.join(count, key).withColumn("_i", F.expr(f"pmod(xxhash64({node}), _b)"))
+    count = df.groupBy(key).agg(F.sum(size).alias("_t"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select(key, "_c", F.expr(f"cast(ceil(_t / {most}) as int)").alias("_b"))
+    j = spread_join(df, materialize(count, "count", path), [key], "_c").withColumn("_i", F.expr(f"pmod(xxhash64({node}), _b)"))
     return j.withColumn("_j", F.explode(F.expr("sequence(0, _b - 1)"))).withColumn("bi", F.least("_i", "_j")).withColumn("bj", F.greatest("_i", "_j")).drop("_b", "_i", "_j")
 
 
@@ -174,33 +175,38 @@ BUCKET_BLOCK, CLUSTER_BLOCK = 16_384, 2_000_000
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, label) of every node with an edge: the smallest node of its component, by alternating steps
-    of taking the smallest label of the neighbours and of the label's own label."""
+    of taking the smallest label of the neighbours and of the label's own label. The node in the
+    middle of a star, and a label that many nodes have, are hot keys, which joins spread."""
     spark, step = edges.sparkSession, 0
     both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "both", f"{folder}/both")
-    lab = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label"), "label", f"{folder}/label0")
+    lab = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"), F.count(F.lit(1)).alias("degree")).select(F.col("u").alias("node"), "label", "degree"), "label", f"{folder}/label0")
     while True:
-        near = both.join(lab.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near")).select(F.col("u").alias("node"), "near")
-        new = lab.join(near, "node").select("node", "label", F.least("label", "near").alias("to"))
-        new = new.join(lab.select(F.col("node").alias("to"), F.col("label").alias("jump")), "to", "left").select("node", F.col("label").alias("was"), F.least("to", F.coalesce("jump", "to")).alias("label"))
-        new = materialize(new, "label", f"{folder}/label{step + 1}")
+        near = spread_join(both, lab.select(F.col("node").alias("v"), "label", "degree"), ["v"], "degree").groupBy("u").agg(F.min("label").alias("near")).select(F.col("u").alias("node"), "near")
+        new = lab.join(near, "node").select("node", F.col("label").alias("was"), "degree", F.least("label", "near").alias("to"))
+        new = materialize(new, "near", f"{folder}/near{step}")
+        jump = new.groupBy("to").agg(F.count(F.lit(1)).alias("n")).join(lab.select(F.col("node").alias("to"), F.col("label").alias("jump")), "to")
+        new = spread_join(new, materialize(jump, "jump", f"{folder}/jump{step}"), ["to"], "n", "left")
+        new = materialize(new.select("node", "was", "degree", F.least("to", F.coalesce("jump", "to")).alias("label")), "label", f"{folder}/label{step + 1}")
         changed = new.where("label <> was").limit(1).count()
-        drop_path(spark, f"{folder}/label{step}")
+        for name in ("label", "near", "jump"):
+            drop_path(spark, f"{folder}/{name}{step}")
         step += 1
-        lab = new.select("node", "label")
+        lab = new.select("node", "label", "degree")
         if not changed:
-            return lab
+            drop_path(spark, f"{folder}/both")
+            return lab.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, key (hash of the text) for every row: documents with
     ``100 * shared >= percent * union`` are linked, and a component is what links reach."""
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must lie in 50..100: the bands are chosen for that")
+    if not 60 <= percent <= 100:  # at 60, bands find a pair with a chance of 1 - (1 - 0.6 ** 4) ** 32 = 0.988
+        raise ValueError("percent must lie in 60..100: the bands are chosen for that")
     spark = docs.sparkSession
     folder = fresh_path(spark, "minhash")
     feat = materialize(features(docs, n), "features", f"{folder}/features")
     some = feat.where("n > 0")
-    groups = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    groups = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     j = percent / 100
     least = j - 5 * ((1 - j) * (j + 1 / 3) / HASHES) ** 0.5  # standard error of the corrected estimate
     # Band rows of distinct sets; the digest's first half is the node's id where it is unique.
@@ -219,13 +225,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
         return emit(found(), _EDGE, 20_000)
 
-    dealt = _blocked(band, "band", "one", "node", BUCKET_BLOCK).select("band", "bi", "bj", "node", "n", "sig")
+    dealt = _blocked(band, "band", "one", "node", BUCKET_BLOCK, f"{folder}/buckets").select("band", "bi", "bj", "node", "n", "sig")
     dealt = dealt.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj")
     near = materialize(dealt.mapInArrow(candidates, "a binary, b binary").distinct(), "near", f"{folder}/near")
     # Every link joins two sets of one candidate cluster; links are confirmed in clusters.
     lab = components(near, f"{folder}/clusters")
     member = lab.join(groups.select(F.col("digest").alias("node"), "rep"), "node").join(uniq.select(F.col("digest").alias("node"), "n", "sig"), "node")
-    member = materialize(_blocked(member, "label", "n", "node", CLUSTER_BLOCK).select("label", "bi", "bj", "node", "rep", "n", "sig"), "members", f"{folder}/members")
+    member = materialize(_blocked(member, "label", "n", "node", CLUSTER_BLOCK, f"{folder}/sizes").select("label", "bi", "bj", "node", "rep", "n", "sig"), "members", f"{folder}/members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     full = member.join(texts, member["rep"].eqNullSafe(texts["doc_id"])).select("label", "bi", "bj", "node", "n", "sig", "text")
     full = full.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "node")
@@ -264,10 +270,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     edges = materialize(full.mapInArrow(confirm, "a binary, b binary").distinct(), "links", f"{folder}/links")
     lab = components(edges, f"{folder}/components")
-    by = lab.join(groups, lab["node"] == groups["digest"]).groupBy("label").agg(F.min("rep").alias("component")).join(lab, "label").select(F.col("node").alias("digest"), "component")
-    by = groups.join(by, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = feat.select("doc_id", "n", "digest", "key").join(by, "digest", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    reps = groups.select(F.col("digest").alias("node"), "rep", "copies")
+    least_id = lab.join(reps, "node").groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("members"))
+    by = spread_join(lab, materialize(least_id, "least", f"{folder}/least"), ["label"], "members")
+    # Only texts with copies or links have a component other than their own id.
+    by = reps.join(by.select("node", "component"), "node", "left").select(F.col("node").alias("digest"), F.coalesce("component", "rep").alias("component"), "copies").where("copies > 1 or not component <=> rep")
+    left = feat.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"), "key")
+    out = spread_join(left, materialize(by, "by", f"{folder}/by"), ["digest"], "copies", "left")
+    own = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "key")
 
 

@@ -11,7 +11,8 @@ tables). Scoring covers every document. Neither labels, lang, source nor doc_id
 inputs of a score. Defined results: a null text is an empty text and is scored as one;
 labels that are null, or of documents that are not there, teach nothing; if a document
 has several labels the smallest counts; without labels of both kinds every score is the
-share of label 1 (0.5 if there are none).
+share of label 1 (0.5 if there are none). Repeated rows are scored alike; other columns are
+handed on as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -161,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, trees: i
     chosen = [(r[0], r[1]) for r in lab.collect()]
     if not chosen:
         return train(np.empty((0, len(FEATURES))), np.empty(0))
+    # The documents and nothing of their other columns, whatever the names of these.
     small = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_q_id long, _q_label int"))  # max_train rows
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +178,9 @@ THRESHOLD = 0.7
 
 
 def with_score(docs: DataFrame, model: Trees, name: str = "score") -> DataFrame:
-    """``docs`` with the score of every text; no shuffle. The model's size is fixed by the
-    number of trees and their depth."""
+    """``docs`` with the score of every text in column ``name``, which replaces a column of that
+    name; no shuffle. The model's size is fixed by the number of trees and their depth."""
+    docs = docs.drop(name)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
 

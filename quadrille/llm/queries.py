@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import binary_records, bpe, decontaminate, html_extract, licenses, line_dedup, minhash, quality, warc, winnowing
 
 #: Folder of the public tokenizer files; every executor has it at this place.
-TOKENIZERS = os.environ.get("QUADRILLE_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

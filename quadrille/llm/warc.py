@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import emit, fresh_path, materialize, open_fs, rows, small_frame
+from ._common import emit, fresh_path, materialize, open_fs, rows, small_frame, spread_join
 
 MIN_REVISIT = 100
 _MAGIC = b"\x5d\x2a\x4d\x18"
@@ -35,13 +35,15 @@ ARCHIVE_BYTES = 256 << 20
 
 
 def mark_revisits(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html, digest, refers_to (null for responses). Payloads are grouped by
-    digest before the shuffle; only digests of several pages are joined back."""
+    """page_id, url, html, digest, refers_to (null for responses). Payloads are counted by
+    digest before the shuffle; a digest of very many pages, and payloads too short for a
+    revisit, are dealt to all tasks."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("html"))
-    p = p.withColumn("digest", F.sha2("html", 256))
-    many = p.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    p = p.withColumn("digest", F.sha2("html", 256)).withColumn("key", F.when(F.octet_length("html") >= least, F.col("digest")))
+    many = p.where("key is not null").groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    j = spread_join(p, materialize(many, "digests"), ["key"], "n", "left")
     again = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
-    return p.join(many, "digest", "left").select("page_id", "url", "html", "digest", F.when(again, F.col("first")).alias("refers_to"))
+    return j.select("page_id", "url", "html", "digest", F.when(again, F.col("first")).alias("refers_to"))
 
 
 def _value(s: str) -> str:
@@ -106,10 +108,12 @@ def parse(data: bytes) -> dict:
 
 
 def train_dictionary(pages: DataFrame, samples: int = 400, size: int = 16 << 10) -> bytes:
-    """A dictionary from at most ``samples`` payloads of at most 16 KiB each. Too few samples
-    for training give a raw dictionary of their beginnings (or an empty one)."""
-    got = [bytes(r[0]) for r in pages.select(F.encode(F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")), 1, 4000), "UTF-8")).limit(samples).collect()]
-    got = [g for g in got if len(g) >= 16]
+    """A dictionary from the first 16 KiB of at most ``samples`` payloads, those of the pages
+    with the smallest hashes of their ids; it decides the size of archives and nothing else.
+    Too few samples for training give a raw dictionary of their beginnings (or an empty one)."""
+    html = F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")), 1, 16 << 10)
+    chosen = pages.select(F.xxhash64("page_id").alias("h"), F.col("page_id").cast("long").alias("i"), html.alias("html")).orderBy("h", "i", "html").limit(samples).collect()
+    got = [g for r in chosen if len(g := r["html"].encode("utf-8", "surrogatepass")[: 16 << 10]) >= 16]
     try:
         return zstandard.train_dictionary(size, got).as_bytes()
     except zstandard.ZstdError:

@@ -7,7 +7,8 @@ two texts share has at least one selected gram in common (the match guarantee).
 
 Defined results: a null text is an empty text and has an empty fingerprint; a text of
 fewer than ``k`` code points is one gram; a text of fewer than ``w`` grams is one
-window. Two empty fingerprints have likeness 1, an empty and another one 0.
+window. Two empty fingerprints have likeness 1, an empty and another one 0. Repeated rows
+give a row each; other columns are left behind, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrille.llm import decontaminate, line_dedup, minhash, quality, queries
-from quadrille.llm._common import bucket_udf, range_bounds, with_ids
+from quadrille.llm import _common, decontaminate, line_dedup, minhash, quality, queries
+from quadrille.llm._common import bucket_udf, range_bounds, spread_join, with_ids
 from tests.util import connect, same
 
 SF = "/root/testdata/sf0.001"
@@ -61,6 +61,30 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(twice).columns == twice.columns
 
 
+def test_line_dedup_of_hot_lines(spark, monkeypatch):
+    """Very common lines and texts, dealt evenly, give the same result."""
+    monkeypatch.setattr(_common, "HOT_ROWS", 3)
+    rng = random.Random(9)
+    hot, whole = "one two three four five six seven eight nine ten", "a whole text of more than ten words that many documents share"
+    texts = [rng.choice([hot, whole, f"own {i}", "", None, f"{hot}\nown {i}", f"own {i}\n{hot}\nx", f"{whole}\n{hot}"]) for i in range(80)]
+    want, n = slow_lines(texts)
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, texts), counts=True).collect()}
+    assert [got[i]["text"] for i in range(len(texts))] == want
+    assert [got[i]["n_deleted"] for i in range(len(texts))] == n
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(_common, "HOT_ROWS", 5)
+    left = spark.createDataFrame([(None, 0)] * 7 + [(1, 0)] * 20 + [(2, 0), (3, 0)], "k bigint, x int")
+    right = spark.createDataFrame([(1, 20, "a"), (2, 1, "b"), (9, 0, "c")], "k bigint, n bigint, v string")
+    count = lambda how: {(r["k"], r["v"]): r["c"] for r in spread_join(left, right, ["k"], "n", how).groupBy("k", "v").agg(F.count("*").alias("c")).collect()}
+    assert count("inner") == {(1, "a"): 20, (2, "b"): 1}
+    assert count("left") == {(1, "a"): 20, (2, "b"): 1, (3, None): 1, (None, None): 7}
+    assert spread_join(left, right.limit(0), ["k"], "n", "left").count() == 29
+    dealt = spread_join(left, right, ["k"], "n", "left").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert dealt > 1
+
+
 # -- 10
 def slow_near(texts, n, percent):
     sets = []
@@ -113,6 +137,33 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert got == slow_near(texts, 3, 85)
 
 
+def test_near_duplicates_of_one_hot_text(spark, monkeypatch):
+    """One digest on most rows, and a star of many near copies."""
+    monkeypatch.setattr(_common, "HOT_ROWS", 3)
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(0, 60, 4)]
+    texts = ["the same text of some words again"] * 40 + [""] * 20 + [None] * 9 + [" ".join(base)] + near + near
+    random.Random(3).shuffle(texts)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs(spark, texts), 3, 85).collect())
+    assert got == slow_near(texts, 3, 85)
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_recall_near_the_threshold(spark, percent):
+    """Pairs whose similarity lies just over the threshold are found."""
+    rng, texts = random.Random(6), []
+    for k in range(150):
+        base = [f"v{k}x{i}" for i in range(120)]
+        cut = int(120 * (1 - percent / 100) / (1 + percent / 100))
+        texts += [" ".join(base), " ".join(base[: 120 - cut] + [f"u{k}x{rng.random()}" for _ in range(cut)])]
+    want, got = slow_near(texts, 1, percent), {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, texts), 1, percent).collect()}
+    linked = [i for i, _, c in want if c != i]
+    assert len(linked) == 150
+    assert sum(got[i] != i for i in linked) >= 0.98 * len(linked)
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(docs(spark, texts), 1, 50)
+
+
 def test_op10_query(spark):
     same(queries.op10_minhash(spark, SF), connect(SF), queries.ORACLES["op10_minhash"])
 
@@ -167,6 +218,47 @@ def test_quality_edges(spark):
     assert {len(quality.statistics(t)) for t in (None, "", "a", "A b.\nC!")} == {len(quality.FEATURES)}
 
 
+def slow_train(x, y, trees, depth, rate, bins, l2, least):
+    """The same boosting, each split tried row by row."""
+    import math
+
+    n, m = x.shape
+    share = y.mean()
+    margin = np.full(n, math.log(share / (1 - share)))
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for j in range(m)]
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, np.maximum(p * (1 - p), 1e-9)
+
+        def grow(rows, left):
+            if left:
+                best = (1e-6, None, None)
+                for j in range(m):
+                    for c in cuts[j]:
+                        a, b = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                        if len(a) >= least and len(b) >= least:
+                            gain = sum(g[k].sum() ** 2 / (h[k].sum() + l2) for k in (a, b)) - g[rows].sum() ** 2 / (h[rows].sum() + l2)
+                            if gain > best[0] + 1e-9:
+                                best = (gain, j, c)
+                _, j, c = best
+                if j is not None:
+                    grow(rows[x[rows, j] <= c], left - 1)
+                    grow(rows[x[rows, j] > c], left - 1)
+                    return
+            margin[rows] += -rate * g[rows].sum() / (h[rows].sum() + l2)
+
+        grow(np.arange(n), depth)
+    return margin
+
+
+def test_training_equals_brute_force():
+    rng = np.random.default_rng(2)
+    x = rng.random((150, 4)).round(2)
+    y = ((x[:, 0] + x[:, 1] * rng.random(150)) > 0.8).astype(float)
+    model = quality.train(x, y, trees=6, depth=3, rate=0.2, bins=8, l2=1.0, least=5)
+    assert np.allclose(model.margin(x), slow_train(x, y, 6, 3, 0.2, 8, 1.0, 5))
+
+
 def test_trees_split_as_asked():
     rng = np.random.default_rng(0)
     x = rng.random((800, 3))
@@ -229,12 +321,25 @@ def test_pipeline_equals_brute_force(spark):
     want = slow_pipeline(spark, d, SF)
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(want)
-    coder = kept_encoder(f"{corpus_pipeline.TOKENIZERS}/word_bpe_49k.json")
+    coder = kept_encoder(corpus_pipeline.VOCABULARY)
     for r in got:
         n, ids, decoded = coder.encode(want[r["doc_id"]])
         assert (r["n_tokens"], " ".join(map(str, r["ids"])), r["decoded"]) == (n, ids, decoded)
 
 
+def test_stages_with_the_names_of_the_code(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    names = ["_quality", "_ldkey", "_ld", "n_lines", "n_deleted", "_blank", "_hits", "_hit", "_mh_id", "_sjs", "key", "n", "digest", "_d", "_q_id"]
+    for n in names:
+        d = d.withColumn(n, F.lit(n))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, SF)
+        assert out.columns == d.columns
+        assert all(r[n] == n for r in out.collect() for n in names)
+    assert quality.with_score(d, quality.train(np.empty((0, len(quality.FEATURES))), np.empty(0)), "n").columns.count("n") == 1
+    assert line_dedup.dedup_lines(d, counts=True).columns.count("n_lines") == 1
+
+
 def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
     d = docs(spark, [None, "", " ", "clean text of a few words", "clean text of a few words", "x" * 20_000])
     for name in ("benchmark", "labels"):

@@ -7,14 +7,16 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quadrille.llm import binary_records, bpe, decontaminate, html_extract, licenses, queries, warc, winnowing
-from quadrille.llm._common import BoundedCache
+from quadrille.llm import _common, binary_records, bpe, decontaminate, html_extract, licenses, queries, warc, winnowing
+from quadrille.llm._common import BoundedCache, emit
+from quadrille.llm.html_training import labelled_pages
 from tests.util import connect, same
 
 SF = "/root/testdata/sf0.001"
@@ -185,6 +187,33 @@ def test_decontaminate_blocks_modes_and_clashes(spark):
     assert decontaminate.remove_hits(d, bench.limit(0)).count() == 4
 
 
+def test_columns_with_the_names_of_the_code(spark):
+    """Extra columns keep their values, whatever their names; columns that are asked for replace."""
+    names = ["_hits", "_hitsw", "_hit", "_hit_words", "_hit_items", "item_id"]
+    d = docs(spark, ["one two three four", "five", None])
+    for n in names:
+        d = d.withColumn(n, F.lit(n))
+    bench = spark.createDataFrame([(1, "two three"), (2, "four")], "item_id bigint, text string")
+    for size in (1 << 20, 5):
+        left = decontaminate.remove_hits(d, bench, block_bytes=size)
+        assert left.columns == d.columns
+        assert all(r[n] == n for r in left.collect() for n in names)
+        found = decontaminate.find_hits(d, bench, block_bytes=size)
+        assert found.columns == [c for c in d.columns if c not in ("_hit_words", "_hit_items")] + ["_hit_words", "_hit_items"]
+        assert [r["_hit_items"] for r in found.orderBy("doc_id").collect()] == [[1, 2], [], []]
+        assert decontaminate.report(d, bench, block_bytes=size).where("contaminated").count() == 1
+
+
+def test_windows_are_small():
+    """A block's windows take 24 bytes a word and 150 a distinct word, about."""
+    rng = random.Random(8)
+    items = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(200))) for k in range(200)]
+    w = decontaminate.Windows(items, 10)
+    assert sum(x.nbytes for s in w.sets.values() for x in s) + w.seq.nbytes <= 24 * 200 * 200
+    mask, found = w.hits(decontaminate.words("x " + " ".join(items[7][1].split()[3:20]) + " y"))
+    assert mask.tolist() == [False] + [True] * 17 + [False] and found == {7}
+
+
 # -- 5
 @pytest.mark.parametrize("texts", [ODD, []])
 def test_op5_query(spark, tmp_path, texts):
@@ -224,8 +253,29 @@ def test_forced_pairs_never_cut_a_token():
 
 
 def test_bounded_cache():
-    c = BoundedCache(lambda k: k * 2, 10)
-    assert all(c[k % 37] == 2 * (k % 37) for k in range(1000)) and len(c) <= 10
+    c = BoundedCache(lambda k: k * 2, 10_000)
+    for k in range(1000):
+        key = str(k % 137)
+        assert c[key] == key * 2
+        assert c.used <= 10_000 and c.used == sum(180 + len(a) + len(b) for a, b in c.items())
+    assert c["x" * 65] == "x" * 130 and "x" * 65 not in c
+    c.clear()
+    assert c.used == 0
+
+
+def test_encoders_keep_few_bytes():
+    a, b = bpe.ForcedBoundaryEncoder(public_tokenizers.path("word_bpe_49k.json"), 40_000), binary_records.ByteLevelEncoder(public_tokenizers.path("byte_bpe_50k.json"), 40_000)
+    for k in range(2000):
+        text = f"word{k} Other{k}! " + "z" * 5000
+        assert len(a.ids(text)) > 9 and len(b(text)) > 9
+    for coder in (a, b):
+        assert sum(c.used for c in coder.caches) <= 40_000 and all(len(key) <= 64 for c in coder.caches for key in c)
+
+
+def test_emit_by_weight():
+    schema = pa.schema([("a", pa.string())])
+    got = [b.num_rows for b in emit((("x" * n,) for n in (5, 5, 50, 1, 1)), schema, weigh=lambda r: len(r[0]), most=10)]
+    assert got == [2, 1, 2]
 
 
 # -- 6
@@ -276,6 +326,19 @@ def test_license_runs(spark):
     assert (got[0]["unit"], got[0]["n_matches"]) == (1, 1) and (got[1]["license"], got[1]["unit"], got[1]["n_matches"]) == ("Apache-2.0", 1, 2)
 
 
+def test_license_bodies(spark):
+    """A body wrapped over lines, with text before and after it."""
+    import textwrap
+
+    bodies = {"BSD-3-Clause": f"{licenses._BSD_2} {licenses._BSD_3} {licenses._BSD_END}", "BSD-2-Clause": f"{licenses._BSD_2} {licenses._BSD_END}", "LGPL-3.0": licenses._LGPL, "Unlicense": licenses._UNLICENSE, "MIT": licenses._MIT}
+    texts = ["Some words of a file.\n" + textwrap.fill(b, 60) + "\nMore lines follow.\nAnd more." for b in bodies.values()]
+    got = {r["doc_id"]: (r["license"], r["unit"]) for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert [got[i][0] for i in range(len(texts))] == list(bodies)
+    clash = docs(spark, [texts[0], None, texts[0]]).withColumn("units", F.lit(1)).withColumn("run", F.lit("x")).withColumn("doc_id", F.lit(7))
+    assert sorted(r["license"] or "" for r in licenses.scan_licenses(clash).collect()) == ["", "BSD-3-Clause", "BSD-3-Clause"]
+    assert licenses.scan_licenses(docs(spark, [])).count() == 0
+
+
 def connect_dir(sf):
     import duckdb
 
@@ -298,6 +361,43 @@ def test_op7_query(spark, tmp_path):
         assert (got[i]["record_type"] == "revisit") == (got[i]["refers_to"] is not None)
 
 
+def test_op7_long_hot_and_repeated_pages(spark, tmp_path, monkeypatch):
+    """One payload on most rows, empty and null pages, a long page, a repeated id; and no rows."""
+    monkeypatch.setattr(_common, "HOT_ROWS", 3)
+    long, same_html = "<p>long</p>" * 40_000, "<p>the same page</p>" * 9
+    rows = [(i, "u", same_html, "x") for i in range(30)] + [(i, "u", None, "x") for i in range(30, 50)] + [(50, "u", long, "x"), (51, None, long, "x"), (51, None, long, "x"), (52, "u", "", "x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, key string")
+    folder(spark, tmp_path, [], pages=pages)
+    got = queries.op7_warc(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["page_id"] < 30) == [(0, "response", None)] + [(i, "revisit", 0) for i in range(1, 30)]
+    assert {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got if r["page_id"] >= 50} == {(50, "response", None, len(long)), (51, "revisit", 50, len(long)), (52, "response", None, 0)}
+    assert warc.read_archives(warc.write_archives(warc.mark_revisits(pages.limit(0)), b"")).count() == 0
+
+
+def test_empty_documents(spark, tmp_path):
+    sf = folder(spark, tmp_path, [], benchmark=spark.createDataFrame([(1, "a b")], "item_id bigint, text string"))
+    for name in ("op3_decontamination", "op6_license_scan", "op10_minhash"):
+        assert queries.QUERIES[name](spark, sf).count() == 0
+
+
+def test_null_and_repeated_ids_of_op1_and_op2(spark, tmp_path):
+    """Ids are ordered; repeated ones by text; a null id comes last in op1 and first in op2."""
+    rows = [(5, "five five five"), (None, "no id"), (5, "a five"), (9, "nine"), (1, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    order = [(9, "nine"), (5, "five five five"), (5, "a five"), (1, ""), (None, "no id")]
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in queries.op1_winnowing(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    got = queries.op2_binary_records(spark, str(tmp_path)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, 1, 5, 5, 9] and got[2]["n_tokens"] < got[3]["n_tokens"] + 2
+
+
 def test_archive_round_trip_and_damage():
     rec = warc.record(7, "http://x/ä", b"<p>hi</p>", hashlib.sha256(b"<p>hi</p>").hexdigest(), None)
     assert warc.parse(rec)["payload"] == b"<p>hi</p>" and warc.parse(rec)["url"] == "http://x/ä"
@@ -354,6 +454,73 @@ def test_html_page():
     assert html_extract.extract(bare) == "Title here " + ("Some words of running text. " * 8).strip()
 
 
+def errors(pages, smooth):
+    w, wrong, changed = html_extract.weights(), 0, 0
+    for html, label in pages:
+        found = html_extract.blocks(html)
+        alone = [a > b for a, b in html_extract.costs(found, w)]
+        side = html_extract.labels(found, w, smooth) if smooth else alone
+        wrong += sum(s != label[b.text] for s, b in zip(side, found, strict=True))
+        changed += sum(s != a for s, a in zip(side, alone, strict=True))
+    return wrong, changed
+
+
+def test_the_cut_decides_labels():
+    """On pages that were not trained on, the cut changes labels, and errors get fewer."""
+    for style in ("parts", "bare"):
+        pages = list(labelled_pages(150, seed=11, styles=(style,)))
+        before, after = errors(pages, 0)[0], errors(pages, html_extract.SMOOTH)
+        assert after[1] > 10 and after[0] < before
+    total = list(labelled_pages(200, seed=12))
+    assert errors(total, html_extract.SMOOTH)[0] <= 0.02 * sum(len(x) for _, x in total)
+
+
+def test_class_words_never_drop_an_article():
+    para = "Some words of running text, and some more of them. " * 6
+    inner = f"<h1>Title here</h1><p>{para}</p><p>Yes.</p><p>{para}more</p>"
+    want = f"Title here {para.strip()} Yes. {para}more"
+    top, end = "<nav><a href=a>Home</a><a href=b>News</a></nav>", "<footer>© 2020 Some site.</footer>"
+    for names in ("post tag-news", "content no-comments", "article has-sidebar", "post-12 category-ads", "story with-share-buttons", "entry legal", "news-comments main"):
+        for tag in ("article", "main", "div"):
+            assert html_extract.extract(f"<body>{top}<{tag} class='{names}'>{inner}</{tag}>{end}") == want, (tag, names)
+    for names in ("sidebar-layout", "with-footer", "header-fixed page"):
+        assert html_extract.extract(f"<body><div class='{names}'>{top}<article>{inner}</article>{end}</div>") == want
+
+
+def test_html_other_templates():
+    para = "Some words of running text, and some more of them. " * 5
+    text = f"Title here {para.strip()}"
+    inner = f"<h1>Title here</h1><p>{para}</p>"
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>About us</a></li></ul>"
+    for page in (
+        f"<div id=nav>{menu}</div><div id=content>{inner}</div><div id=footer>© 2020 All rights reserved.</div>",
+        f"<div class=site-nav>{menu}</div><div class=site-content>{inner}<div class=ad>Buy this now.</div></div><div class=site-footer><p>Copyright 2020 Us.</p></div>",
+        f"<table><tr><td>{menu}</td><td>{inner}</td></tr></table>",
+        f"<header>{menu}</header><main>{inner}</main><aside><p>Read these other things.</p></aside><section class=comments><p>I do not think that this is right at all.</p></section>",
+        f"<div role=navigation>{menu}</div><div role=main>{inner}</div><div role=contentinfo>Some words here.</div>",
+        f"<main>{inner}</main><div class='cookie'><p>We use cookies on this site. Read our terms of use.</p></div>",
+        f"<article>{inner}<form class=newsletter><p>Subscribe to our newsletter.</p><label>Mail</label><input></form></article>",
+    ):
+        assert html_extract.extract(f"<html><body>{page}</body></html>") == text, page
+
+
+def test_html_long_and_deep_pages():
+    many = "".join(f"<p>Paragraph {k} of a very long page, with words.</p>" for k in range(4000))
+    got = html_extract.extract(f"<nav><a href=a>A</a></nav><article>{many}</article>")
+    assert got.startswith("Paragraph 0 of") and got.endswith("3999 of a very long page, with words.") and got.count("Paragraph") == 4000
+    assert html_extract.extract("<div>" * 20_000 + "Some words in it.") in ("Some words in it.", "")
+
+
+def test_op9_repeated_ids_and_empty_pages(spark, tmp_path):
+    schema = "page_id bigint, url string, html string, text string, cost int"
+    rows = [(1, "u", PAGE, "mine", 1), (1, "u", PAGE, "mine", 1), (1, "v", "", None, None)]
+    folder(spark, tmp_path, [], pages=spark.createDataFrame(rows, schema))
+    got = queries.op9_html_extraction(spark, str(tmp_path))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(r["n_chars"] > 0 for r in got.collect()) == [False, True, True]
+    assert html_extract.extract_pages(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_min_cut_is_optimal():
     rng = random.Random(6)
     for _ in range(60):
