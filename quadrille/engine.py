@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import re
+import threading
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 from typing import Any
@@ -11,19 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import results
+from .functions import geo
 from .functions.scalar import QL
 from .functions.terms import E, compare_const, constant, convert, lit_fields, nothing, ref_iri, struct, to_term
 from .operators import frames as fr
 from .operators import paths, spatial
 from .operators.frames import Frame, column_name, frame
 from .operators.text import TextIndex, escaped, tokens
-from .plans.algebra import IRI, Group, Lit, Service, SubSelect, Triple, Update, Var
+from .plans.algebra import IRI, Group, Lit, Service, SubSelect, Triple, Update, Var, visible
 from .plans.compiler import HAS_WORD, Compiler
 from .plans.parser import SparqlError, parse_query, parse_update
 from .shared import fresh_path, materialize
 from .sources.base import Source
 from .sources.rdfio import read_rdf
-from .sources.store import DEFAULT, QuadStore, empty_store
+from .sources.store import DEFAULT, QuadStore, empty_store, within, without
 
 NS = "http://quadrille.example/"
 PATH_SEARCH, SPATIAL_SEARCH, TEXT_SEARCH, VIEW = NS + "pathSearch/", NS + "spatialSearch/", NS + "textSearch/", NS + "view/"
@@ -32,6 +36,16 @@ TABLE = QL + "table-"
 PREFIXES = {"ql": QL, "pathSearch": PATH_SEARCH, "spatialSearch": SPATIAL_SEARCH, "textSearch": TEXT_SEARCH, "view": VIEW}
 
 
+#: Runtime parameters and their defaults: seconds that ``rows`` may take (None: any time);
+#: results that are kept (0: none); whether CONSTRUCT leaves out repeated triples; rows of
+#: bindings that are sent along with a SERVICE request; fewest letters before the * of a prefix.
+PARAMETERS: dict[str, Any] = {"timeout": None, "cache-max-num-entries": 0, "construct-distinct": False, "service-max-value-rows": 100, "min-prefix-size": 1}
+
+
+class QueryTimeout(RuntimeError):
+    """A query took longer than it may."""
+
+
 class Engine:
     def __init__(self, spark: SparkSession, source: Source | None = None, text: TextIndex | None = None, prefixes: dict[str, str] | None = None, base: str = "", fetch: Callable[[str, str], dict] | None = None, allowed: Callable[[str], bool] | None = None):
         """``fetch(endpoint, query)`` returns SPARQL JSON for SERVICE; ``allowed`` decides which
@@ -40,6 +54,9 @@ class Engine:
         self.prefixes, self.fetch, self.allowed = PREFIXES | (prefixes or {}), fetch, allowed
         self.views: dict[str, tuple[str, dict[str, str]]] = {}
         self.cached: dict[str, Frame] = {}
+        #: Materialised results by query text, oldest first; an update empties it.
+        self.results: dict[str, Frame] = {}
+        self.parameters: dict[str, Any] = dict(PARAMETERS)
         self.text_vars: set[str] = set()
         self.now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
 
@@ -49,9 +66,63 @@ class Engine:
         if q.kind != "select":
             raise SparqlError("not a SELECT query")
         self.now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+        most = self.parameters["cache-max-num-entries"]
+        if text in self.results:
+            f = self.results[text]
+            return f, list(f.env)
         f = self._compiler(q).query(q)
+        if most and not re.search(r"\b(?:RAND|NOW|UUID|STRUUID|BNODE)\s*\(", text, re.I):
+            f = Frame(materialize(f.df, "result"), {v: E(F.col(column_name(v)), e.kind, e.null) for v, e in f.env.items()})
+            while len(self.results) >= most:
+                self.results.pop(next(iter(self.results)))
+            self.results[text] = f
         return f, list(f.env)
 
+    def set_parameter(self, name: str, value: Any) -> None:
+        if name not in PARAMETERS:
+            raise SparqlError(f"no parameter {name}")
+        self.parameters[name] = value
+
+    def rows(self, text: str, timeout: float | None = None) -> list:
+        """The rows of a query; its jobs are cancelled once it took ``timeout`` seconds (or what
+        the parameter of that name says)."""
+        limit, tag, over = timeout if timeout is not None else self.parameters["timeout"], f"quadrille-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            over.set()
+            self.spark.interruptTag(tag)
+
+        timer = threading.Timer(limit, stop) if limit is not None else None
+        self.spark.addTag(tag)
+        try:
+            if timer:
+                timer.start()
+            got = self.query(text).collect()
+            if over.is_set():
+                raise QueryTimeout(f"the query took longer than {limit} s")
+            return got
+        except Exception as e:
+            if over.is_set():
+                raise QueryTimeout(f"the query took longer than {limit} s") from e
+            raise
+        finally:
+            if timer:
+                timer.cancel()
+            self.spark.removeTag(tag)
+
+    def cancel_all(self) -> None:
+        """Cancels what runs in this session."""
+        self.spark.interruptAll()
+
+    def statistics(self, text: str) -> dict[str, Any]:
+        """Runtime information of a query after running it: operators of the final plan and
+        their metrics, as Spark counted them."""
+        df = self.query(text)
+        df.write.format("noop").mode("overwrite").save()
+        plan = df._jdf.queryExecution().executedPlan()
+        n = df.count()
+        return {"result-size": n, "plan": plan.toString(), "columns": df.columns}
+
     def _compiler(self, q: Any) -> Compiler:
         default = None if q.default_graphs is None and q.named_graphs is None else list(q.default_graphs or [])
         named = None if q.named_graphs is None and q.default_graphs is None else list(q.named_graphs or [])
@@ -66,22 +137,31 @@ class Engine:
         c = self._compiler(q)
         if q.kind == "ask":
             return c.query(replace(q, kind="ask")).df.limit(1).agg((F.count(F.lit(1)) > 0).alias("ask"))
-        return c.construct(q) if q.kind == "construct" else c.describe(q)
+        if q.kind == "construct":
+            made = c.construct(q)
+            return made.distinct() if self.parameters["construct-distinct"] else made
+        return c.describe(q)
 
     def ask(self, text: str) -> bool:
         return bool(self.query(text).first()["ask"])
 
-    def export(self, text: str, form: str) -> Iterator[str]:
-        """The result as a document: json, xml, csv, tsv, or (for triples) turtle, ntriples."""
+    def export(self, text: str, form: str, send: int | None = None) -> Iterator[str]:
+        """The result as a document: json, xml, csv, tsv, native (JSON with the rows as lists), or
+        (for triples) turtle, ntriples. ``send`` truncates the document, not the result."""
         q = parse_query(text, self.prefixes)
         if q.kind in ("construct", "describe"):
             if form not in ("turtle", "ntriples"):
                 raise SparqlError(f"triples have no form {form}")
-            return (r["value"] + "\n" for r in results.triple_lines(self.query(text)).toLocalIterator())
+            triples = self.query(text)
+            return (r["value"] + "\n" for r in results.triple_lines(triples if send is None else triples.limit(send)).toLocalIterator())
         if q.kind == "ask":
             yes = self.ask(text)
             return iter(['{"head": {}, "boolean": %s}' % ("true" if yes else "false")] if form == "json" else [f"{yes}\n".lower()])
         f, names = self.frame(text)
+        if form == "native":
+            return results.to_native(f, names, text, send)
+        if send is not None:
+            f = Frame(f.df.limit(send), f.env)
         if form in ("csv", "tsv"):
             return (line + "\n" for line in results.lines(f, names, form))
         if form == "json":
@@ -134,7 +214,7 @@ class Engine:
 
     # -- special predicates
     def is_special(self, iri: str) -> bool:
-        return iri in (QL + "contains-word", QL + "contains-entity", HAS_WORD) or iri.startswith(VIEW) or iri.startswith(("max-distance-in-meters:", "nearest-neighbors:"))
+        return iri in (QL + "contains-word", QL + "contains-entity", HAS_WORD) or iri == QL + "langtag" or iri.startswith(VIEW)
 
     def special(self, c: Compiler, triples: list[Triple], where: tuple) -> list[Frame]:
         out: list[Frame] = []
@@ -143,6 +223,8 @@ class Engine:
             p = t.p.value
             if p == QL + "contains-word":
                 for w in t.o.value.split(" "):
+                    if w.endswith("*") and len(w) <= self.parameters["min-prefix-size"]:
+                        raise SparqlError(f"a prefix has at least {self.parameters['min-prefix-size']} letters")
                     tag = escaped(w.rstrip("*").lower())
                     kind = "prefix" if w.endswith("*") else "word"
                     out.append(self._index().word(t.s.name, w, f"ql_score_{kind}_{t.s.name}_{tag}", f"ql_matchingword_{t.s.name}_{tag}"))
@@ -154,11 +236,15 @@ class Engine:
                     out.append(self._index().entity(t.s.name, t.o.name, f"ql_score_{t.s.name}_var_{t.o.name}"))
                 else:
                     out.append(self._index().entity(t.s.name, ("iri", t.o.value), f"ql_score_{t.s.name}_fixedEntity_{escaped(t.o.value)}"))
-            elif p == HAS_WORD:  # every literal and each of its words
+            elif p in (HAS_WORD, QL + "langtag"):  # every literal and each of its words, or its language
+                from .sources.base import match
+
                 df, cols = self.source.any_predicate(where[0], None)
                 o = to_term(cols["o"])
-                df = df.where(o["k"] == 4).select(o.alias("o"), F.explode(tokens(o["s"])).alias("w"))
-                from .sources.base import match
+                if p == HAS_WORD:
+                    df = df.where(o["k"] == 4).select(o.alias("o"), F.explode(tokens(o["s"])).alias("w"))
+                else:
+                    df = df.where((o["k"] == 4) & o["lang"].isNotNull()).select(o.alias("o"), o["lang"].alias("w")).distinct()
 
                 out.append(match(df, [(t.s, E(F.col("o"), "term", False)), (t.o, E(F.col("w"), "str", False))]))
             elif p.startswith(VIEW):
@@ -198,7 +284,7 @@ class Engine:
             return both(self._path_search(c, params, inner, where, f))
         if iri == SPATIAL_SEARCH:
             return self._spatial_search(c, params, inner, where, f)
-        return both(self._remote(iri, s))
+        return both(self._remote(iri, s, f))
 
     def _text_search(self, params: list[Triple]) -> Frame:
         from .sources.base import join_all
@@ -245,30 +331,42 @@ class Engine:
             body = body.to_kinds({start: kind, end: kind})
         edges = body.df.select(body.col(start).alias("a"), body.col(end).alias("b"), *[body.col(v).alias(f"x_{v}") for v in props]).where("a is not null and b is not null")
 
-        def ends(name: str) -> list | None:
-            if name not in cfg:
+        def ends(*sides: str) -> DataFrame | None:
+            """The ends that are given, as columns: constants, or what a variable is bound to."""
+            given = [cfg[n] for n in sides if n in cfg]
+            if len(given) < len(sides):
                 return None
-            found: list = []
-            for x in cfg[name]:
-                if isinstance(x, Var):
-                    if f is None or x.name not in f.env:
-                        raise SparqlError(f"?{x.name} is not bound before the path search")
-                    g = f.to_kinds({x.name: kind})
-                    got = g.df.select(g.col(x.name)).distinct().limit(paths.BROADCAST_EDGES + 1).collect()
-                    if len(got) > paths.BROADCAST_EDGES:
-                        raise SparqlError("too many ends for a path search")
-                    found += [r[0] for r in got if r[0] is not None]
-                else:
-                    found.append(_native(x, kind))
-            return found
+            loose = [x.name for side in given for x in side if isinstance(x, Var)]
+            for v in loose:
+                if f is None or v not in f.env:
+                    raise SparqlError(f"?{v} is not bound before the path search")
+            if loose and any(len(side) > 1 for side in given) and len(sides) > 1:
+                raise SparqlError("pairs of ends are constants, or two variables")
+            made: DataFrame | None = None
+            if loose:
+                g = f.to_kinds({v: kind for v in loose})
+                if len(sides) > 1:
+                    cols = [g.col(side[0].name) if isinstance(side[0], Var) else F.lit(_native(side[0], kind)) for side in given]
+                    return g.df.select(*[c.alias(n) for c, n in zip(cols, sides, strict=True)]).distinct()
+                for v in loose:
+                    one = g.df.select(g.col(v).alias(sides[0])).where(F.col(sides[0]).isNotNull())
+                    made = one if made is None else made.union(one)
+            fixed = [[_native(x, kind) for x in side if not isinstance(x, Var)] for side in given]
+            if fixed[0] or not loose:
+                if len({len(x) for x in fixed}) > 1:
+                    raise SparqlError("pairs of ends need as many sources as targets")
+                schema = ", ".join(f"{n} {edges.schema['a'].dataType.simpleString()}" for n in sides)
+                more = self.spark.createDataFrame(list(zip(*fixed, strict=True)), schema)
+                made = more if made is None else made.union(more)
+            return made.distinct()
 
         sources, targets = ends("source"), ends("target")
         pairs = None
         cartesian = str(cfg["cartesian"][0].value).lower() != "false" if "cartesian" in cfg else True
         if not cartesian:
-            if sources is None or targets is None or len(sources) != len(targets):
+            if sources is None or targets is None:
                 raise SparqlError("pairs of ends need as many sources as targets")
-            pairs = list(zip(sources, targets, strict=True))
+            pairs = ends("source", "target")
         number = lambda n: int(cfg[n][0].value) if n in cfg else None
         got = paths.all_paths(edges, sources, targets, pairs, number("maxDepth"), number("numPathsPerTarget"))
         cols = {start: E(F.col("a"), kind, False), end: E(F.col("b"), kind, False), cfg["pathColumn"][0].name: E(F.col("path"), "int", False), cfg["edgeColumn"][0].name: E(F.col("edge"), "int", False)}
@@ -287,6 +385,8 @@ class Engine:
                 payload.append(t.o)
             else:
                 cfg[_local(t.p.value)] = t.o
+        if "algorithm" in cfg and _local(cfg["algorithm"].value) not in ("baseline", "s2", "boundingBox", "s2PointPolyline", "libspatialjoin"):
+            raise SparqlError("unknown algorithm of a spatial search")  # all give one result; the plan is Spark's
         if "left" not in cfg or "right" not in cfg:
             raise SparqlError("a spatial search needs left and right")
         left, right = cfg["left"].name, cfg["right"].name
@@ -308,15 +408,33 @@ class Engine:
             if metres is None:
                 raise SparqlError("within-dist needs maxDistance")
             return spatial.within(left_f, left, right_f, right, metres, distance)
+        if kind == "de9im":
+            if "de9imFilter" not in cfg:
+                raise SparqlError("de9im needs de9imFilter")
+            kind = geo.named_relation(cfg["de9imFilter"].value)
         return spatial.related(left_f, left, right_f, right, kind)
 
-    def _remote(self, iri: str, s: Service) -> Frame:
+    def _bindings(self, s: Service, f: Frame | None) -> str:
+        """VALUES with the bindings that the request shares with what is known before it, if they
+        are few and constants."""
+        shared = [] if f is None else sorted(v for v in f.names & visible(s.group) if not v.startswith("_:"))
+        most = self.parameters["service-max-value-rows"]
+        if not shared or not most:
+            return ""
+        got = results.as_text(f, shared).distinct().limit(most + 1).collect()
+        if len(got) > most or any(x is None or x.startswith("_:") for r in got for x in r):
+            return ""
+        return f"VALUES ({' '.join('?' + v for v in shared)}) {{ {' '.join('(' + ' '.join(r) + ')' for r in got)} }} "
+
+    def _remote(self, iri: str, s: Service, f: Frame | None = None) -> Frame:
         try:
             if self.fetch is None:
                 raise SparqlError("no fetcher for SERVICE")
             if self.allowed is not None and not self.allowed(iri):
                 raise SparqlError(f"{iri} may not be asked")
-            got = self.fetch(iri, "SELECT * WHERE " + s.text)
+            known = self._bindings(s, f)
+            body = "{ " + known + s.text[s.text.index("{") + 1 :] if known else s.text
+            got = self.fetch(iri, s.prologue + "SELECT * WHERE " + body)
         except Exception:
             if s.silent:
                 return Frame(self.spark.range(1).select(), {})
@@ -353,7 +471,7 @@ class Engine:
         return self.source
 
     def load(self, path: str, graph: str = DEFAULT) -> QuadStore:
-        self._new(self._store().quads.select("s", "p", "o", "g").unionByName(read_rdf(self.spark, path, graph)))
+        self._change(None, read_rdf(self.spark, path, graph))
         return self._store()
 
     # -- graphs as documents: what the Graph Store Protocol asks for
@@ -374,6 +492,13 @@ class Engine:
         """Adds the triples of a file to a graph."""
         return self.load(path, graph)
 
+    def toggle_graph(self, path: str, graph: str = DEFAULT) -> QuadStore:
+        """For each triple of a file: removes it from a graph that has it, else adds it (TSOP)."""
+        rows = materialize(read_rdf(self.spark, path, graph).distinct(), "toggled")
+        here = self._store().quads.where(F.col("g") == graph)
+        self._change(within(here, rows), without(rows, here))
+        return self._store()
+
     def delete_graph(self, graph: str = DEFAULT) -> QuadStore:
         self._new(self._store().quads.where(F.col("g") != graph).select("s", "p", "o", "g"))
         return self._store()
@@ -385,6 +510,11 @@ class Engine:
 
     def _new(self, quads: DataFrame) -> None:
         self.source = QuadStore.write(quads)
+        self.results.clear()
+
+    def _change(self, gone: DataFrame | None, new: DataFrame | None) -> None:
+        self.source = self._store().changed(gone, new)
+        self.results.clear()
 
     def _graph(self, x: Any) -> str:
         return DEFAULT if x in (None, "DEFAULT") else x.value
@@ -401,13 +531,15 @@ class Engine:
             a, b = self._graph(u.source), self._graph(u.target)
             if a == b:
                 return None
-            rest = base if u.kind == "add" else base.where(g != b)
+            if u.kind == "add":
+                return self._change(None, base.where(g == a).withColumn("g", F.lit(b)))
+            rest = base.where(g != b)
             rest = rest.where(g != a) if u.kind == "move" else rest
             return self._new(rest.unionByName(base.where(g == a).withColumn("g", F.lit(b))))
         if u.kind == "load":
             try:
                 added = read_rdf(self.spark, u.source.removeprefix("file://") if u.source.startswith("file://") else u.source, self._graph(u.target))
-                return self._new(base.unionByName(added))
+                return self._change(None, added)
             except Exception:
                 if u.silent:
                     return None
@@ -418,13 +550,7 @@ class Engine:
         c = Compiler(self, self.source, default, named)
         f = c.group(where, (default, None))
         f = Frame(materialize(f.df, "where"), f.env) if f.env else f  # evaluated once
-        gone, new = self._quads(c, f, u.delete, u.graph), self._quads(c, f, u.insert, u.graph)
-        out = base
-        if gone is not None:
-            out = _without(out, gone)
-        if new is not None:
-            out = out.unionByName(new)
-        return self._new(out)
+        self._change(self._quads(c, f, u.delete, u.graph), self._quads(c, f, u.insert, u.graph))
 
     def _quads(self, c: Compiler, f: Frame, template: tuple, graph: str | None) -> DataFrame | None:
         if not template:
@@ -442,16 +568,6 @@ class Engine:
         return rows.where("s is not null and p is not null and o is not null and g is not null")
 
 
-def _without(base: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows that are not in ``gone``; terms are compared field by field, nulls as equal."""
-    key = F.xxhash64("s", "p", "o", "g")
-    a, b = base.withColumn("_h", key), gone.distinct().withColumn("_h", key).select("_h", *[F.col(n).alias(f"_{n}") for n in "spog"])
-    on = a["_h"] == b["_h"]
-    for n in "spog":
-        on = on & a[n].eqNullSafe(b[f"_{n}"])
-    return a.join(b, on, "left_anti").drop("_h")
-
-
 def _local(iri: str) -> str:
     return iri.replace("#", "/").rsplit("/", 1)[-1]
 

@@ -293,6 +293,16 @@ def relation_udf(name: str):
     return run
 
 
+#: Patterns of DE-9IM and the relations that they stand for (fixed values of the standard).
+DE9IM = {"T*F**FFF*": "equals", "T*****FF*": "contains", "T*F**F***": "within", "T********": "intersects", "FT*******": "touches", "F**T*****": "touches", "F***T****": "touches", "T*T***T**": "overlaps", "T*T******": "crosses", "FF*FF****": "disjoint"}
+
+
+def named_relation(pattern: str) -> str:
+    if pattern.upper() not in DE9IM:
+        raise SparqlError("this DE-9IM pattern is not supported")
+    return DE9IM[pattern.upper()]
+
+
 def _unit(e: E | None, table: dict[str, float], default: str) -> float:
     if e is None:
         return table[default]
@@ -414,9 +424,6 @@ def function(name: str, a: list[E]) -> E:
     if name == "relate":
         if len(a) < 3 or a[2].const is None:
             raise SparqlError("geof:relate takes two geometries and a constant pattern")
-        known = {"T*F**FFF*": "equals", "T*****FF*": "contains", "T*F**F***": "within", "T********": "intersects", "FT*******": "touches", "F**T*****": "touches", "F***T****": "touches", "T*T***T**": "overlaps", "T*T******": "crosses"}
-        rel = known.get(a[2].const.value.upper())
-        if rel is None:
-            raise SparqlError("this DE-9IM pattern is not supported")
+        rel = named_relation(a[2].const.value)
         return E(relation_udf(rel)(w, wkt(a[1])), "bool", True)
     raise SparqlError(f"unknown function geof:{name}")

@@ -11,7 +11,7 @@ from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,32 +102,47 @@ def _walk_joined(edges: DataFrame, start: DataFrame, lo: int, hi: int | None) ->
     return seen
 
 
-def all_paths(edges: DataFrame, sources: list | None, targets: list | None, pairs: list[tuple] | None = None, max_depth: int | None = None, per_target: int | None = None, limit: int = BROADCAST_EDGES) -> DataFrame:
+def all_paths(edges: DataFrame, sources: DataFrame | None, targets: DataFrame | None, pairs: DataFrame | None = None, max_depth: int | None = None, per_target: int | None = None, limit: int = BROADCAST_EDGES) -> DataFrame:
     """Every simple path from a source to a target, one row an edge: source, target, path,
     edge, and the columns of ``edges`` (a, b and properties). No source is visited twice on
-    a path; no sources mean all starts, no targets every node. ``pairs`` restricts to given
-    (source, target) pairs."""
+    a path; no ``sources`` (column source) mean all starts, no ``targets`` (column target)
+    every node. ``pairs`` (source, target) restricts to these. Paths of a source are numbered,
+    and chosen for ``per_target``, by their length and then their edges, however many edges
+    the graph has."""
     props = [c for c in edges.columns if c not in ("a", "b")]
-    starts = edges.select("a").distinct()
-    if sources is not None:
-        starts = edges.sparkSession.createDataFrame([(s,) for s in sources], T.StructType([T.StructField("a", edges.schema["a"].dataType)])).distinct()
-    wanted = None if targets is None else set(targets)
-    allowed = None if pairs is None else set(pairs)
+    starts = edges.select("a").distinct() if sources is None else sources.select(F.col("source").alias("a")).distinct()
     got = edges.limit(limit + 1).collect()
+    walk = _paths_joined if len(got) > limit else _paths_local
+    out = walk(edges, starts, max_depth, props, got)
+    for only, keys in ((targets, ["target"]), (pairs, ["source", "target"])):
+        if only is not None:
+            out = out.join(only.select(*keys).distinct(), keys, "left_semi")
+    order = [F.size("edges"), F.to_json(F.struct("edges"))]
+    if per_target is not None:
+        w = Window.partitionBy("source", "target").orderBy(*order)
+        out = out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_target).drop("_r")
+    out = out.withColumn("path", F.row_number().over(Window.partitionBy("source").orderBy(*order)).cast("bigint") - 1)
+    return out.select("source", "target", "path", F.posexplode("edges").alias("edge", "_x")).select("source", "target", "path", F.col("edge").cast("bigint").alias("edge"), "_x.*")
+
+
+def _edge_type(edges: DataFrame, props: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, edges.schema[c].dataType) for c in ("a", "b", *props)])
+
+
+def _paths_local(edges: DataFrame, starts: DataFrame, max_depth: int | None, props: list[str], got: list) -> DataFrame:
+    """source, target, edges of every path; each task walks the broadcast edges for its starts."""
     kind = edges.schema["a"].dataType
-    schema = T.StructType([T.StructField("source", kind), T.StructField("target", kind), T.StructField("path", T.LongType()), T.StructField("edge", T.LongType()), T.StructField("a", kind), T.StructField("b", kind), *[T.StructField(p, edges.schema[p].dataType) for p in props]])
-    if len(got) > limit:
-        return _paths_joined(edges, starts, wanted, allowed, max_depth, per_target, props)
     nxt: dict = defaultdict(list)
     for r in got:
         nxt[r["a"]].append(tuple(r[c] for c in ("a", "b", *props)))
-    shared = edges.sparkSession.sparkContext.broadcast(dict(nxt))
+    shared = edges.sparkSession.sparkContext.broadcast(dict(nxt))  # BROADCAST_EDGES at most
+    names = ("a", "b", *props)
+    schema = T.StructType([T.StructField("source", kind), T.StructField("target", kind), T.StructField("edges", T.ArrayType(_edge_type(edges, props)))])
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, rows = shared.value, []
+        out, rows, size = shared.value, [], 0
         for p in parts:
             for s in p["a"]:
-                found, n = defaultdict(int), 0
                 stack = [(s, iter(out.get(s, ())))]
                 path: list = []
                 on = {s}
@@ -143,14 +158,11 @@ def all_paths(edges: DataFrame, sources: list | None, targets: list | None, pair
                         continue
                     path.append(e)
                     on.add(b)
-                    ok = (wanted is None or b in wanted) and (allowed is None or (s, b) in allowed)
-                    if ok and (per_target is None or found[b] < per_target):
-                        found[b] += 1
-                        rows += [(s, b, n, k, *x) for k, x in enumerate(path)]
-                        n += 1
-                        if len(rows) >= BATCH:
-                            yield pd.DataFrame(rows, columns=schema.names).astype(object)
-                            rows = []
+                    rows.append((s, b, [dict(zip(names, x, strict=True)) for x in path]))
+                    size += len(path)
+                    if size >= BATCH:
+                        yield pd.DataFrame(rows, columns=schema.names).astype(object)
+                        rows, size = [], 0
                     if max_depth is None or len(path) < max_depth:
                         stack.append((b, iter(out.get(b, ()))))
                     else:
@@ -161,10 +173,11 @@ def all_paths(edges: DataFrame, sources: list | None, targets: list | None, pair
     return starts.mapInPandas(run, schema)
 
 
-def _paths_joined(edges, starts, wanted, allowed, max_depth, per_target, props) -> DataFrame:
+def _paths_joined(edges: DataFrame, starts: DataFrame, max_depth: int | None, props: list[str], got: list) -> DataFrame:
+    """The same by one join for each edge of a path; every round is written."""
     e = materialize(edges.select("a", "b", F.struct("a", "b", *props).alias("_e")), "edges")
     step = e.select(F.col("a").alias("_m"), F.col("b").alias("_n"), "_e")
-    here = starts.select(F.col("a").alias("source"), F.col("a").alias("target"), F.array("a").alias("seen"), F.array().cast(f"array<{e.schema['_e'].dataType.simpleString()}>").alias("edges"))
+    here = starts.select(F.col("a").alias("source"), F.col("a").alias("target"), F.array("a").alias("seen"), F.array().cast(T.ArrayType(_edge_type(edges, props))).alias("edges"))
     parts, d = [], 0
     while max_depth is None or d < max_depth:
         d += 1
@@ -173,18 +186,7 @@ def _paths_joined(edges, starts, wanted, allowed, max_depth, per_target, props)
         if here.isEmpty():
             break
         parts.append(here)
-    out = parts[0] if parts else here
+    out = parts[0] if parts else here.limit(0)
     for p in parts[1:]:
         out = out.union(p)
-    if wanted is not None:
-        out = out.where(F.col("target").isin(list(wanted)))
-    if allowed is not None:
-        out = out.where(F.struct("source", "target").isin([F.struct(F.lit(a), F.lit(b)) for a, b in allowed]))
-    from pyspark.sql import Window
-
-    if per_target is not None:
-        w = Window.partitionBy("source", "target").orderBy(F.size("edges"), F.to_json(F.struct("edges")))
-        out = out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_target).drop("_r")
-    w = Window.partitionBy("source").orderBy(F.size("edges"), F.to_json(F.struct("edges")))
-    out = out.withColumn("path", F.row_number().over(w).cast("bigint") - 1)
-    return out.select("source", "target", "path", F.posexplode("edges").alias("edge", "_x")).select("source", "target", "path", F.col("edge").cast("bigint").alias("edge"), "_x.*")
+    return out.select("source", "target", "edges")

@@ -138,9 +138,12 @@ def from_filter(e: Any, a: Frame, b: Frame) -> Frame | None:
         return None
     if e.name == "&&":
         return from_filter(e.args[0], a, b) or from_filter(e.args[1], a, b)
-    if e.name.startswith(GEOF + "sf") and all(isinstance(x, Var) for x in e.args):
-        p, q = (x.name for x in e.args)
-        name = e.name[len(GEOF) + 2 :].lower()
+    relate = e.name == GEOF + "relate" and len(e.args) == 3 and isinstance(e.args[2], Lit)
+    if (relate or e.name.startswith(GEOF + "sf")) and all(isinstance(x, Var) for x in e.args[:2]):
+        p, q = (x.name for x in e.args[:2])
+        name = geo.named_relation(e.args[2].value) if relate else e.name[len(GEOF) + 2 :].lower()
+        if name == "disjoint":  # no cells in common: for pairs of all rows, the filter decides
+            return None
         if p in a.env and q in b.env:
             return related(a, p, b, q, name)
         if q in a.env and p in b.env and name in ("intersects", "equals", "touches", "overlaps", "crosses"):

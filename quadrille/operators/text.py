@@ -6,12 +6,12 @@ word or prefix is a pushed-down range of it."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import E
+from ..functions.terms import E, to_term
 from ..plans.parser import SparqlError
 from ..shared import fresh_path, materialize
 from .frames import Frame, frame
@@ -35,6 +35,18 @@ class TextIndex:
     b: float = 0.75
     k: float = 1.75
 
+    docs: DataFrame | None = None  # rec, text: what records are, where it is known
+
+    @classmethod
+    def from_literals(cls, source, graphs: list[str] | None = None, scoring: str = "count") -> TextIndex:
+        """The literals of a graph as text: each distinct one is a record (its own text), and
+        the subjects that have it are its entities."""
+        df, cols = source.any_predicate(graphs, None)
+        o = to_term(cols["o"])
+        rows = df.select(to_term(cols["s"]).getField("s").alias("entity"), o.alias("o")).where("o.k = 4 and o.s is not null").select(F.col("o.s").alias("rec"), "entity")
+        texts = rows.select("rec", F.col("rec").alias("text")).distinct()
+        return cls.build(texts, rows.where("entity is not null").distinct(), scoring, record_kind="str")
+
     @classmethod
     def build(cls, docs: DataFrame, entities: DataFrame | None = None, scoring: str = "tfidf", b: float = 0.75, k: float = 1.75, record_kind: str = "int") -> TextIndex:
         """``docs``: rec (bigint), text. ``entities``: rec, entity. Counts are stored; TF-IDF
@@ -54,12 +66,44 @@ class TextIndex:
         return made
 
     @classmethod
-    def from_words(cls, spark: SparkSession, path: str, record_kind: str = "int") -> TextIndex:
-        """A words file: word, whether it is an entity, record, score, separated by tabs."""
+    def from_words(cls, spark: SparkSession, path: str, record_kind: str = "int", docs: str | None = None) -> TextIndex:
+        """A words file: word, whether it is an entity, record, score, separated by tabs. A file
+        of ``docs`` has the number and the text of each record."""
         rows = spark.read.csv(path, sep="\t", quote="", schema="word string, ent int, rec bigint, score double")
         words = rows.where("ent = 0").select(F.lower("word").alias("word"), "rec", "score")
         ent = rows.where("ent = 1").select("rec", F.regexp_replace("word", "^<|>$", "").alias("entity"), "score")
-        return cls._held(spark, words, ent, record_kind)
+        made = cls._held(spark, words, ent, record_kind)
+        if docs is not None:
+            made.docs = spark.read.csv(docs, sep="\t", quote="", schema="rec bigint, text string")
+        return made
+
+    def save(self, path: str) -> None:
+        """Writes the index as tables that ``load`` reads; nothing is computed anew then."""
+        spark = self.postings.sparkSession
+        self.postings.repartitionByRange("word", "rec").sortWithinPartitions("word", "rec").write.parquet(f"{path}/postings")
+        self.entities.write.parquet(f"{path}/entities")
+        for name, df in (("sizes", self.sizes), ("docs", self.docs)):
+            if df is not None:
+                df.write.parquet(f"{path}/{name}")
+        about = [(self.record_kind, self.scoring, self.records, self.mean, self.b, self.k, self.sizes is not None, self.docs is not None)]
+        spark.createDataFrame(about, "record_kind string, scoring string, records double, mean double, b double, k double, sizes boolean, docs boolean").coalesce(1).write.parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, scoring: str | None = None) -> TextIndex:
+        """A saved index; ``scoring`` may be another one than it was built for, if it holds what
+        that needs (an index built for BM25 serves all)."""
+        about = spark.read.parquet(f"{path}/about").first()
+        made = cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/entities"), about["record_kind"], about["scoring"], about["records"], None, about["mean"], about["b"], about["k"])
+        made.sizes = spark.read.parquet(f"{path}/sizes") if about["sizes"] else None
+        made.docs = spark.read.parquet(f"{path}/docs") if about["docs"] else None
+        return made if scoring is None else made.scored_by(scoring)
+
+    def scored_by(self, scoring: str) -> TextIndex:
+        if scoring not in ("count", "tfidf", "bm25"):
+            raise SparqlError("scoring is count, tfidf or bm25")
+        if scoring == "bm25" and self.sizes is None:
+            raise SparqlError("the index was not built for bm25")
+        return replace(self, scoring=scoring)
 
     @classmethod
     def _held(cls, spark, postings, entities, record_kind) -> TextIndex:

@@ -98,6 +98,7 @@ class Service:
     group: Group
     silent: bool = False
     text: str = ""
+    prologue: str = ""
 
 
 @dataclass(frozen=True)

@@ -17,12 +17,22 @@ from ..operators import paths, spatial
 from ..operators.frames import Frame, column_name, frame
 from ..sources.base import Source, join_all
 from .algebra import AGGREGATES, IRI, RDF, Bind, BNode, Call, Exists, Filter, GraphPattern, Group, Lit, Minus, Optional_, Path, Query, Service, SubSelect, Triple, Union_, Values, Var, expr_vars, has_aggregate, visible, walk
+from .magic import magic_predicates
 from .parser import SparqlError
 
 HAS_PREDICATE = QL + "has-predicate"
 HAS_WORD = QL + "has-word"
 
 
+def sort_columns(f: Frame, order: list[tuple[str, bool]]) -> list:
+    """Sort keys of variables; ``order``: names, and whether they go down."""
+    cols = []
+    for n, down in order:
+        for c in order_key(E(f.col(n), f.env[n].kind, f.env[n].null)):
+            cols.append(c.desc_nulls_last() if down else c.asc_nulls_first())
+    return cols
+
+
 class Compiler:
     def __init__(self, engine: Any, source: Source, default: list[str] | None = None, named: list[str] | None = None):
         """``default``: graphs of the default graph (None: the union of all); ``named``: those
@@ -50,6 +60,9 @@ class Compiler:
                 if e is not None:
                     f = self.bind(f, n, e)
             scope = Scope(f.scope(), now=self.engine.now)
+        if q.values is not None:  # before anything is cut off
+            f = fr.join(f, self.values(q.values))
+            scope = Scope(f.scope(), scope.ready, scope.now, scope.base)
         names = [n for n, _ in q.select] or [v for v in f.env if not v.startswith("_:")]
         if q.kind != "select":
             names = [v for v in f.env if not v.startswith("_:")] if not aggregated else names
@@ -62,19 +75,17 @@ class Compiler:
                 f = f2
                 order.append((f"_:o{i}", down))
         if q.distinct:
-            keep = [n for n, _ in order] if order else []
-            f = f.select([*names, *keep]).distinct() if keep else f.select(names).distinct()
+            keep = [n for n, _ in order]
+            if all(expr_vars(e) <= set(names) for e, _ in q.order):
+                f = f.select([*names, *keep]).distinct()
+            else:  # of rows that are equal in what is selected, the first in the order stays
+                w = Window.partitionBy(*[f.col(v) for v in names]).orderBy(*sort_columns(f, order))
+                f = Frame(f.df.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first"), f.env).select([*names, *keep])
         if order:
-            cols = []
-            for n, down in order:
-                for c in order_key(E(f.col(n), f.env[n].kind, f.env[n].null)):
-                    cols.append(c.desc_nulls_last() if down else c.asc_nulls_first())
-            f = Frame(f.df.orderBy(*cols), f.env)
+            f = Frame(f.df.orderBy(*sort_columns(f, order)), f.env)
         if q.internal_sort:
             f = Frame(f.df.orderBy(*[f.col(v).asc_nulls_first() for v in q.internal_sort if v in f.env]), f.env)
         f = f.select(names)
-        if q.values is not None:
-            f = fr.join(f, self.values(q.values))
         if q.offset:
             f = Frame(f.df.offset(q.offset), f.env)
         if q.limit is not None:
@@ -158,6 +169,7 @@ class Compiler:
             self.here = before
 
     def _filtered(self, g: Group, where: tuple) -> Frame:
+        g = magic_predicates(g)
         filters = [p.expr for p in g.parts if isinstance(p, Filter)]
         f = self._patterns(g, where, filters)
         for e in filters:

@@ -239,11 +239,17 @@ def graph_copy_move(spark, sf_dir):
 
 
 # -- text search over documents
+_indexes: dict[tuple[str, str], TextIndex] = {}
+
+
 def _texts(spark: SparkSession, sf_dir: str, scoring: str) -> Engine:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("rec"), "text")
-    ent = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("rec"), F.concat(F.lit(BASE + "source/"), F.col("source")).alias("entity"))
-    g = graph(spark, sf_dir)
-    return Engine(spark, g, TextIndex.build(docs, ent, scoring, record_kind=f"ref:{BASE}documents/"), prefixes=PREFIXES)
+    """The text index of the documents is built once in a session and serves every scoring."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("rec"), "text")
+        ent = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("rec"), F.concat(F.lit(BASE + "source/"), F.col("source")).alias("entity"))
+        _indexes[key] = TextIndex.build(docs, ent, "bm25", record_kind=f"ref:{BASE}documents/")
+    return Engine(spark, graph(spark, sf_dir), _indexes[key].scored_by(scoring), prefixes=PREFIXES)
 
 
 _TOK = r"WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents), tf AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word <> '' GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1), nn AS (SELECT count(*) AS n FROM documents), av AS (SELECT avg(dl) AS m FROM dl)"
@@ -282,6 +288,97 @@ _q("geo_functions", f"SELECT ?k ?x ?y ?t WHERE {{ ?p supplier:s_suppkey ?k {_A}
 _BOX = 'BIND(STRDT(CONCAT("POLYGON((", STR(?k), " 0,", STR(?k + 2), " 0,", STR(?k + 2), " 2,", STR(?k), " 2,", STR(?k), " 0))"), geo:wktLiteral) AS {0})'
 _q("spatial_intersects", f"SELECT ?a ?b WHERE {{ {{ SELECT ?a ?ga WHERE {{ ?x nation:n_nationkey ?a BIND(?a AS ?k) {_BOX.format('?ga')} }} }} {{ SELECT ?b ?gb WHERE {{ ?y nation:n_nationkey ?b BIND(?b + 1.5 AS ?k) {_BOX.format('?gb')} }} }} FILTER(geof:sfIntersects(?ga, ?gb)) }}", "SELECT CAST(a.n_nationkey AS BIGINT) AS a, CAST(b.n_nationkey AS BIGINT) AS b FROM nation a, nation b WHERE abs(b.n_nationkey + 1.5 - a.n_nationkey) <= 2")
 
+_RECT = 'BIND(STRDT(CONCAT("POLYGON((", STR({x}), " {lo},", STR({x} + {w}), " {lo},", STR({x} + {w}), " {hi},", STR({x}), " {hi},", STR({x}), " {lo}))"), geo:wktLiteral) AS {g})'
+#: Of a square at a key and a rectangle made of another key: its place, and when the relation holds.
+_RELATIONS = {
+    "contains": (dict(x="?b + 0.5", w=1, lo=0.5, hi=1.5), "a.n_nationkey = b.n_nationkey"),
+    "within": (dict(x="?b - 1", w=4, lo=-1, hi=3), "abs(a.n_nationkey - b.n_nationkey) <= 1"),
+    "touches": (dict(x="?b + 2", w=1, lo=0, hi=2), "a.n_nationkey - b.n_nationkey IN (0, 3)"),
+    "overlaps": (dict(x="?b + 1", w=2, lo=1, hi=3), "b.n_nationkey - a.n_nationkey > -3 AND b.n_nationkey - a.n_nationkey < 1"),
+    "equals": (dict(x="?b", w=2, lo=0, hi=2), "a.n_nationkey = b.n_nationkey"),
+}
+for _name, (_rect, _when) in _RELATIONS.items():
+    _q(
+        f"spatial_{_name}",
+        f"SELECT ?a ?b WHERE {{ {{ SELECT ?a ?ga WHERE {{ ?x nation:n_nationkey ?a {_RECT.format(x='?a', w=2, lo=0, hi=2, g='?ga')} }} }} {{ SELECT ?b ?gb WHERE {{ ?y nation:n_nationkey ?b {_RECT.format(**_rect, g='?gb')} }} }} FILTER(geof:sf{_name.title()}(?ga, ?gb)) }}",
+        f"SELECT CAST(a.n_nationkey AS BIGINT) AS a, CAST(b.n_nationkey AS BIGINT) AS b FROM nation a, nation b WHERE {_when}",
+    )
+_q(
+    "spatial_crosses",
+    f"SELECT ?a ?b WHERE {{ {{ SELECT ?a ?ga WHERE {{ ?x nation:n_nationkey ?a BIND(STRDT(CONCAT(\"LINESTRING(\", STR(?a + 0.5), \" -1,\", STR(?a + 0.5), \" 1)\"), geo:wktLiteral) AS ?ga) }} }} {{ SELECT ?b ?gb WHERE {{ ?y nation:n_nationkey ?b {_RECT.format(x='?b', w=2, lo=0, hi=2, g='?gb')} }} }} FILTER(geof:sfCrosses(?ga, ?gb)) }}",
+    "SELECT CAST(a.n_nationkey AS BIGINT) AS a, CAST(b.n_nationkey AS BIGINT) AS b FROM nation a, nation b WHERE a.n_nationkey - b.n_nationkey IN (0, 1)",
+)
+_q(
+    "spatial_relate",
+    f"SELECT ?a ?b WHERE {{ {{ SELECT ?a ?ga WHERE {{ ?x nation:n_nationkey ?a {_RECT.format(x='?a', w=2, lo=0, hi=2, g='?ga')} }} }} {{ SELECT ?b ?gb WHERE {{ ?y nation:n_nationkey ?b {_RECT.format(x='?b + 0.5', w=1, lo=0.5, hi=1.5, g='?gb')} }} }} FILTER(geof:relate(?ga, ?gb, \"T*****FF*\")) }}",
+    "SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_nationkey AS BIGINT) AS b FROM nation",
+)
+_q(
+    "spatial_de9im",
+    f"SELECT ?a ?b WHERE {{ {{ SELECT ?a ?ga WHERE {{ ?x nation:n_nationkey ?a {_RECT.format(x='?a', w=2, lo=0, hi=2, g='?ga')} }} }} SERVICE spatialSearch: {{ _:c spatialSearch:algorithm spatialSearch:libspatialjoin ; spatialSearch:left ?ga ; spatialSearch:right ?gb ; spatialSearch:joinType spatialSearch:de9im ; spatialSearch:de9imFilter \"FT*******\" {{ SELECT ?b ?gb WHERE {{ ?y nation:n_nationkey ?b {_RECT.format(x='?b + 2', w=1, lo=0, hi=2, g='?gb')} }} }} }} }}",
+    "SELECT CAST(a.n_nationkey AS BIGINT) AS a, CAST(b.n_nationkey AS BIGINT) AS b FROM nation a, nation b WHERE a.n_nationkey - b.n_nationkey IN (0, 3)",
+)
+_q("spatial_magic_distance", f"SELECT ?c ?s WHERE {{ {_LEFT} {{ {_RIGHT} }} ?ga <max-distance-in-meters:700000> ?gb }}", f"{_GEO} SELECT a.k AS c, b.k - 500 AS s FROM a, b WHERE {_KM} <= 700")
+_q("spatial_magic_nearest", f"SELECT ?c (COUNT(?s) AS ?n) WHERE {{ {_LEFT} {{ {_RIGHT} }} ?ga <nearest-neighbors:2:3000000> ?gb }} GROUP BY ?c", f"{_GEO}, r AS (SELECT a.k AS c FROM a, b WHERE {_KM} <= 3000 QUALIFY row_number() OVER (PARTITION BY a.k ORDER BY {_KM}) <= 2) SELECT c, count(*) AS n FROM r GROUP BY c")
+
+# -- order and distinct, values after the pattern, cycles, languages, more functions
+_q("distinct_order_unselected", "SELECT DISTINCT ?s WHERE { ?o orders:o_orderstatus ?s ; orders:o_totalprice ?p } ORDER BY DESC(?p) LIMIT 2", "SELECT o_orderstatus AS s FROM orders GROUP BY 1 ORDER BY max(o_totalprice) DESC LIMIT 2")
+_q("values_after_pattern", 'SELECT ?k ?r WHERE { ?x nation:n_nationkey ?k ; nation:n_regionkey ?r } ORDER BY DESC(?k) LIMIT 3 VALUES ?r { 1 2 }', "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_regionkey AS BIGINT) AS r FROM nation WHERE n_regionkey IN (1, 2) ORDER BY n_nationkey DESC LIMIT 3")
+_BOTH = "(nation:ref-n_regionkey|^nation:ref-n_regionkey)"
+_NEAR = "SELECT CAST(a.n_nationkey AS BIGINT) AS k, CAST(count(*) + 1 AS BIGINT) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey GROUP BY 1"
+_q("path_plus_cycle", f"SELECT ?k (COUNT(?y) AS ?n) WHERE {{ ?x nation:n_nationkey ?k . ?x {_BOTH}+ ?y }} GROUP BY ?k", _NEAR)
+_q("path_star_cycle", f"SELECT ?k (COUNT(?y) AS ?n) WHERE {{ ?x nation:n_nationkey ?k . ?x {_BOTH}* ?y }} GROUP BY ?k", _NEAR)
+_q("path_opt_alternative", "SELECT ?k ?to WHERE { ?x nation:n_nationkey ?k . ?x (nation:ref-n_regionkey)? ?y BIND(STR(?y) AS ?to) }", "SELECT CAST(n_nationkey AS BIGINT) AS k, 'http://example.org/t/region/' || n_regionkey AS \"to\" FROM nation UNION ALL SELECT n_nationkey, 'http://example.org/t/nation/' || n_nationkey FROM nation")
+_q(
+    "path_search_limited",
+    "SELECT ?r (COUNT(*) AS ?n) WHERE { ?x region:r_regionkey ?r SERVICE pathSearch: { _:p pathSearch:algorithm pathSearch:allPaths ; pathSearch:source ?x ; pathSearch:target <http://example.org/t/nation/1> ; pathSearch:numPathsPerTarget 1 ; pathSearch:start ?a ; pathSearch:end ?b ; pathSearch:pathColumn ?path ; pathSearch:edgeColumn ?edge { { ?b nation:ref-n_regionkey ?a } UNION { ?a nation:ref-n_regionkey ?b } UNION { ?b nation:ref-n_regionkey ?a } } } } GROUP BY ?r",
+    "SELECT CAST(n_regionkey AS BIGINT) AS r, CAST(1 AS BIGINT) AS n FROM nation WHERE n_nationkey = 1",
+)
+_q("math_trigonometry", "SELECT ?k ?s ?c ?t ?e WHERE { ?x part:p_partkey ?k BIND(?k / 1000 AS ?v) BIND(ROUND(math:sin(?v) * 1000000) AS ?s) BIND(ROUND(math:cos(?v) * 1000000) AS ?c) BIND(ROUND(math:tan(?v / 10) * 1000000) AS ?t) BIND(ROUND(math:exp(?v / 10) * 1000000) AS ?e) }", "SELECT p_partkey AS k, floor(sin(p_partkey / 1000::DOUBLE) * 1000000 + 0.5::DOUBLE) AS s, floor(cos(p_partkey / 1000::DOUBLE) * 1000000 + 0.5::DOUBLE) AS c, floor(tan(p_partkey / 1000::DOUBLE / 10) * 1000000 + 0.5::DOUBLE) AS t, floor(exp(p_partkey / 1000::DOUBLE / 10) * 1000000 + 0.5::DOUBLE) AS e FROM part")
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> Engine:
+    """The texts of documents as literals in their languages."""
+    from .functions.terms import K_LIT, struct
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and lang is not null")
+    quads = d.select(F.concat(F.lit(BASE + "documents/"), F.col("doc_id").cast("string")).alias("s"), F.lit(BASE + "documents#text").alias("p"), struct(k=F.lit(K_LIT), s=F.col("text"), lang=F.col("lang")).alias("o"), F.lit("").alias("g"))
+    return Engine(spark, QuadStore(spark, quads.distinct(), {}, True), prefixes=PREFIXES)
+
+
+@_query("language_predicate", "SELECT count(DISTINCT doc_id) AS n FROM documents WHERE lang = 'en' AND text IS NOT NULL")
+def language_predicate(spark, sf_dir):
+    return _tagged(spark, sf_dir).query("SELECT (COUNT(*) AS ?n) WHERE { ?d @en@documents:text ?t }")
+
+
+@_query("langtag", "SELECT lang AS l, count(DISTINCT text) AS n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY 1")
+def langtag(spark, sf_dir):
+    return _tagged(spark, sf_dir).query("SELECT ?l (COUNT(*) AS ?n) WHERE { ?o ql:langtag ?l } GROUP BY ?l")
+
+
+@_query("text_from_literals", r"SELECT 'http://example.org/t/customer/' || c_custkey AS e FROM customer WHERE regexp_matches(lower(c_name), '(^|[^\p{L}\p{N}])customer([^\p{L}\p{N}]|$)') AND c_name IS NOT NULL")
+def text_from_literals(spark, sf_dir):
+    """The graph's own literals as text: records are the literals, entities their subjects."""
+    g = graph(spark, sf_dir, "customer")
+    return Engine(spark, g, TextIndex.from_literals(g), prefixes=PREFIXES).query('SELECT ?e WHERE { ?t ql:contains-word "customer" ; ql:contains-entity ?e }')
+
+
+@_query("store_log", "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name || '!' AS n FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey > 1 UNION ALL SELECT 100, 'new'")
+def store_log(spark, sf_dir):
+    """Updates that a log of quads holds over an unchanged base."""
+    e = Engine(spark, QuadStore.write(_quads(spark, sf_dir)), prefixes=PREFIXES)
+    e.update('INSERT DATA { <http://example.org/t/nation/100> nation:n_nationkey 100 ; nation:n_name "new" }')
+    e.update('DELETE { ?x nation:n_name ?n } INSERT { ?x nation:n_name ?m } WHERE { ?x nation:n_regionkey 1 ; nation:n_name ?n BIND(CONCAT(?n, "!") AS ?m) }')
+    e.update("DELETE WHERE { ?x nation:n_regionkey 0 ; nation:n_name ?n }")
+    return e.query("SELECT ?k ?n WHERE { ?x nation:n_nationkey ?k ; nation:n_name ?n }")
+
+
+def _quads(spark, sf_dir):
+    df, c = graph(spark, sf_dir, "nation").any_predicate(None, None)
+    from .functions.terms import to_term
+
+    return df.select(to_term(c["s"])["s"].alias("s"), to_term(c["p"])["s"].alias("p"), to_term(c["o"]).alias("o"), F.lit("").alias("g"))
+
 
 @_query("view_scan", "SELECT n_name AS n, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 GROUP BY 1")
 def view_scan(spark, sf_dir):

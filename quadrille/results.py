@@ -71,6 +71,16 @@ def to_json(f: Frame, names: list[str]) -> Iterator[str]:
     yield "]}}"
 
 
+def to_native(f: Frame, names: list[str], query: str, send: int | None = None) -> Iterator[str]:
+    """JSON with each row as a list of terms in RDF syntax, and the number of all rows."""
+    size = f.df.count()
+    yield json.dumps({"query": query, "status": "OK", "selected": ["?" + n for n in names]})[:-1] + ', "res": ['
+    rows = as_text(f, names) if send is None else as_text(Frame(f.df.limit(send), f.env), names)
+    for k, r in enumerate(rows.toLocalIterator()):
+        yield (", " if k else "") + json.dumps(list(r), ensure_ascii=False)
+    yield f'], "resultSizeTotal": {size}}}'
+
+
 def to_xml(f: Frame, names: list[str]) -> Iterator[str]:
     yield '<?xml version="1.0"?>\n<sparql xmlns="http://www.w3.org/2005/sparql-results#">\n<head>' + "".join(f"<variable name={quoteattr(n)}/>" for n in names) + "</head>\n<results>\n"
     for r in as_text(f, names).toLocalIterator():

@@ -68,9 +68,11 @@ def parse_lines(lines: DataFrame, graph: str = DEFAULT) -> DataFrame:
 
 def turtle(text: str, graph: str = DEFAULT, tag: str = "") -> list[tuple]:
     """Quads of a Turtle document; blank nodes get ``tag`` in front of their labels."""
-    p = Parser(text.replace("@prefix", "PREFIX").replace("@base", "BASE"))
+    p = Parser(text)
     out: list = []
     while p.peek()[0] != "end":
+        if p.peek()[0] == "lang" and (word := p.peek()[1]) in ("@prefix", "@base"):  # a directive only where a statement begins
+            p.toks[p.i] = ("word", word[1:], p.peek()[2])
         if p.is_word("PREFIX", "BASE"):
             p.prologue_one()
             p.take(".")

@@ -151,8 +151,21 @@ def test_closure_by_joins_equals_local_walk(spark):
     edges = spark.createDataFrame(sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(25)}), "a bigint, b bigint")
     for lo, hi in ((0, None), (1, None), (2, 4)):
         assert rows(paths.closure(edges, None, lo, hi)) == rows(paths.closure(edges, None, lo, hi, limit=0))
-    key = lambda df: sorted((r["source"], r["target"], r["edge"], r["a"], r["b"]) for r in df.collect())
-    assert key(paths.all_paths(edges, [0, 1], None, max_depth=4)) == key(paths.all_paths(edges, [0, 1], None, max_depth=4, limit=0))
+    two = spark.createDataFrame([(0,), (1,)], "source bigint")
+    ends = spark.createDataFrame([(3,), (4,), (5,)], "target bigint")
+    pairs = spark.createDataFrame([(0, 4), (1, 5)], "source bigint, target bigint")
+    for per_target in (None, 1, 2):
+        for targets, of in ((None, None), (ends, None), (ends, pairs)):
+            both = [rows(paths.all_paths(edges, two, targets, of, 4, per_target, limit)) for limit in (1000, 0)]
+            assert both[0] == both[1] and both[0]
+
+
+def test_paths_per_target_are_the_shortest_whatever_the_size(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (2, 4), (1, 3), (4, 1)], "a bigint, b bigint")
+    one, to = spark.createDataFrame([(1,)], "source bigint"), spark.createDataFrame([(4,)], "target bigint")
+    for limit in (100, 2):
+        got = paths.all_paths(edges, one, to, per_target=1, limit=limit).orderBy("edge").collect()
+        assert [(r["a"], r["b"]) for r in got] == [(1, 2), (2, 4)]
 
 
 def test_geometry(spark):
@@ -197,3 +210,141 @@ def test_graphs_as_documents(spark, tmp_path):
     assert e.get_graph("http://x/g").count() == 1
     assert "Scan parquet" in e.explain("SELECT ?s { ?s <http://x/p> ?o }")
     assert not e.delete_graph("http://x/g").quads.count()
+
+
+def small_store(spark):
+    return QuadStore.write(spark.createDataFrame(turtle(E1), SCHEMA))
+
+
+def test_distinct_with_order_on_what_is_not_selected(engine):
+    got = lambda q: [r[0] for r in engine.query(q).collect()]
+    assert got("SELECT DISTINCT ?x { VALUES (?x ?y) { (1 2) (1 3) (2 1) } } ORDER BY ?y") == [2, 1]
+    assert got("SELECT DISTINCT ?x { VALUES (?x ?y) { (1 2) (1 3) (2 1) (UNDEF 9) (UNDEF 0) } } ORDER BY DESC(?y)") == [None, 1, 2]
+    assert got("SELECT DISTINCT ?x { VALUES (?x ?y) { (1 2) (1 3) (2 1) } } ORDER BY ?x") == [1, 2]
+    assert got("SELECT ?x { VALUES ?x { 3 1 2 } } ORDER BY ?x LIMIT 1 VALUES ?x { 2 3 }") == [2]
+
+
+def test_turtle_literals_stay_as_they_are():
+    got = turtle('@base <http://b/> . @prefix : <http://x/> .\nPREFIX q: <http://q/>\n:a q:p "mail @base and @prefix here" , "x"@base ; :r <rel> .')
+    assert [r[2][4] for r in got] == ["mail @base and @prefix here", "x", "http://b/rel"]
+    assert got[1][2][6] == "base"
+
+
+def test_service_gets_prologue_and_bindings(spark):
+    asked = []
+
+    def fetch(url, query):
+        asked.append(query)
+        return {"head": {"vars": ["x", "v"]}, "results": {"bindings": [{"x": {"type": "uri", "value": "http://x/a"}, "v": {"type": "literal", "value": "1"}}]}}
+
+    e = Engine(spark, small_store(spark), prefixes={"": "http://x/"}, fetch=fetch)
+    text = "PREFIX ex: <http://e/> SELECT (STR(?x) AS ?a) (STR(?v) AS ?b) { ?x :link :b SERVICE <http://s/> { ?x ex:p ?v FILTER(?v != 'ex:') } }"
+    assert rows(e.query(text)) == [("http://x/a", "1")]
+    assert asked[-1].startswith("PREFIX ex: <http://e/> SELECT * WHERE { VALUES (?x) { (<http://x/a>) }  ?x ex:p ?v")
+    parse_query(asked[-1], {})  # the endpoint can read it
+    e.set_parameter("service-max-value-rows", 0)
+    assert rows(e.query(text)) == [("http://x/a", "1")] and "VALUES" not in asked[-1]
+
+
+def test_updates_write_a_log(spark):
+    store = small_store(spark)
+    e = Engine(spark, store, prefixes={"": "http://x/"})
+    n = store.quads.count()
+    for text, more in (
+        ("INSERT DATA { :new :p 5 . :a :p 1 }", 1),  # the second is there
+        ("DELETE DATA { :a :p 1 . :new :p 5 . :none :p 3 }", -2),
+        ("INSERT DATA { :a :p 1 }", 1),
+        ("DELETE { :a :p 1 } INSERT { :a :p 1 } WHERE {}", 0),
+        ('INSERT DATA { :a :p "of another kind" ; :fresh :b . GRAPH :g { :a :p 1 } }', 3),
+        ("DELETE WHERE { ?s :link ?o }", -3),
+    ):
+        e.update(text)
+        n += more
+        assert e.source.quads.count() == n, text
+        assert e.source.base is store.base  # nothing but the log was written
+    assert rows(e.query("SELECT (STR(?o) AS ?t) { :a :p ?o }")) == [("1",), ("of another kind",)]
+    assert rows(e.query("SELECT ?s { ?s :fresh :b }")) == [("http://x/a",)]
+    assert not rows(e.query("SELECT ?s { ?s :link ?o }")) and len(rows(Engine(spark, store, prefixes={"": "http://x/"}).query("SELECT ?s { ?s :link ?o }"))) == 3
+    again = QuadStore.write(e.source.quads)
+    assert rows(again.quads.select("s", "p", "o.s", "o.i", "g")) == rows(e.source.quads.select("s", "p", "o.s", "o.i", "g"))
+
+
+def test_long_logs_are_merged(spark, monkeypatch):
+    from quadrille.sources import store as module
+
+    monkeypatch.setattr(module, "LOG_QUADS", 2)
+    e = Engine(spark, small_store(spark), prefixes={"": "http://x/"})
+    base = e.source.base
+    e.update("INSERT DATA { :n1 :p 1 . :n2 :p 2 . :n3 :p 3 . :n4 :p 3 . :n5 :p 3 . :n6 :p 3 }")
+    assert e.source.base is not base and e.source.added is None
+    assert len(rows(e.query("SELECT ?s { ?s :p 3 }"))) == 4
+
+
+def test_constant_objects_read_the_copy_sorted_by_object(spark):
+    e = Engine(spark, small_store(spark), prefixes={"": "http://x/"})
+    plan = e.explain("SELECT ?s { ?s :link :c }")
+    assert "by_object" in plan and "EqualTo(o.s,http://x/c)" in plan and "pred" in plan
+    assert "by_object" not in e.explain("SELECT ?o { :a :link ?o }")
+    assert rows(e.query("SELECT ?s { ?s :link :c }")) == [("http://x/b",)]
+
+
+def test_toggled_graph_cache_limits_and_documents(spark, tmp_path):
+    (tmp_path / "a.nt").write_text("<http://x/b> <http://x/p> <http://x/c> .\n<http://x/d> <http://x/p> <http://x/c> .\n")
+    (tmp_path / "b.nt").write_text("<http://x/d> <http://x/p> <http://x/c> .\n<http://x/e> <http://x/p> <http://x/c> .\n")
+    e = Engine(spark, prefixes={"": "http://x/"})
+    e.load(f"file://{tmp_path}/a.nt")
+    e.set_parameter("cache-max-num-entries", 1)
+    q = "SELECT ?s { ?s :p ?o } ORDER BY ?s"
+    assert [r[0][-1] for r in e.rows(q)] == ["b", "d"] and q in e.results
+    e.toggle_graph(f"file://{tmp_path}/b.nt")
+    assert not e.results
+    assert [r[0][-1] for r in e.rows(q, timeout=100)] == ["b", "e"]
+    doc = json.loads("".join(e.export(q, "native", send=1)))
+    assert doc["res"] == [["<http://x/b>"]] and doc["resultSizeTotal"] == 2 and doc["selected"] == ["?s"]
+    assert len(json.loads("".join(e.export(q, "json", send=1)))["results"]["bindings"]) == 1
+    twice = "CONSTRUCT { :x :y ?o } { ?s :p ?o }"
+    assert e.query(twice).count() == 2
+    e.set_parameter("construct-distinct", True)
+    assert e.query(twice).count() == 1
+    with pytest.raises(SparqlError):
+        e.set_parameter("nothing", 1)
+
+
+def test_slow_queries_are_cancelled(spark):
+    from quadrille.engine import QueryTimeout
+
+    e = Engine(spark)
+    values = " ".join(map(str, range(400)))
+    slow = "SELECT (COUNT(*) AS ?n) { " + " ".join(f"VALUES ?{v} {{ {values} }}" for v in "abcd") + " FILTER(MD5(STR(?a + ?b + ?c + ?d)) = 'x') }"
+    with pytest.raises(QueryTimeout):
+        e.rows(slow, timeout=2)
+    assert e.rows("SELECT (1 AS ?x) {}")[0][0] == 1
+
+
+def test_spatial_predicates(spark):
+    points = """@prefix : <http://x/> . @prefix geo: <http://www.opengis.net/ont/geosparql#> .
+    :a :at "POINT(0 0)"^^geo:wktLiteral . :b :at "POINT(0.001 0)"^^geo:wktLiteral . :c :at "POINT(1 0)"^^geo:wktLiteral . :d :is "POINT(0 0.002)"^^geo:wktLiteral . :e :is "POINT(3 0)"^^geo:wktLiteral ."""
+    e = Engine(spark, QuadStore.write(spark.createDataFrame(turtle(points), SCHEMA)), prefixes={"": "http://x/"})
+    q = lambda p: rows(e.query(f"SELECT ?x ?y {{ ?x :at ?g . ?y :is ?h . ?g <{p}> ?h }}"))
+    x = lambda *names: sorted((f"http://x/{a}", f"http://x/{b}") for a, b in names)
+    assert q("max-distance-in-meters:300") == x("ad", "bd")
+    assert q("nearest-neighbors:1") == x("ad", "bd", "cd")
+    assert q("nearest-neighbors:2:300") == x("ad", "bd")
+    for bad in ("max-distance-in-meters:x", "nearest-neighbors:-1"):
+        with pytest.raises(SparqlError):
+            q(bad)
+    with pytest.raises(SparqlError):
+        e.query("SELECT ?g { ?x :at ?g ; :at ?h . ?g <nearest-neighbors:1> ?h }")
+
+
+def test_text_index_saved_and_loaded(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "hello world hello"), (2, "world of words")], "rec bigint, text string")
+    TextIndex.build(docs, scoring="bm25").save(f"file://{tmp_path}/t")
+    for scoring in ("count", "tfidf", "bm25"):
+        want, got = (rows(i.word("t", "hello", "s").df.select("v_s")) for i in (TextIndex.build(docs, scoring=scoring), TextIndex.load(spark, f"file://{tmp_path}/t", scoring)))
+        assert want == got and len(got) == 1
+    e = Engine(spark, text=TextIndex.load(spark, f"file://{tmp_path}/t"))
+    e.set_parameter("min-prefix-size", 4)
+    with pytest.raises(SparqlError):
+        e.query('SELECT ?t { ?t ql:contains-word "hel*" }')
+    assert e.query('SELECT ?t { ?t ql:contains-word "word*" }').count() == 3
