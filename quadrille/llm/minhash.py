@@ -209,9 +209,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     groups = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     j = percent / 100
     least = j - 5 * ((1 - j) * (j + 1 / 3) / HASHES) ** 0.5  # standard error of the corrected estimate
-    # Band rows of distinct sets; the digest's first half is the node's id where it is unique.
+    # Band rows of distinct sets carry no more than the node; what is known of the nodes is
+    # joined to the few rows whose bucket has other members.
     uniq = some.groupBy("digest").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.any_value("n").alias("n"))
-    band = uniq.select(F.col("digest").alias("node"), "sig", "n", F.explode("bands").alias("band")).withColumn("one", F.lit(1))
+    band = uniq.select(F.col("digest").alias("node"), F.explode("bands").alias("band"), F.lit(1).alias("one"))
+    about = some.groupBy("digest").agg(F.any_value("sig").alias("sig"), F.any_value("n").alias("n")).withColumnRenamed("digest", "node")
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(_words)
@@ -225,12 +227,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
         return emit(found(), _EDGE, 20_000)
 
-    dealt = _blocked(band, "band", "one", "node", BUCKET_BLOCK, f"{folder}/buckets").select("band", "bi", "bj", "node", "n", "sig")
+    dealt = _blocked(band, "band", "one", "node", BUCKET_BLOCK, f"{folder}/buckets").join(about, "node").select("band", "bi", "bj", "node", "n", "sig")
     dealt = dealt.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj")
     near = materialize(dealt.mapInArrow(candidates, "a binary, b binary").distinct(), "near", f"{folder}/near")
     # Every link joins two sets of one candidate cluster; links are confirmed in clusters.
     lab = components(near, f"{folder}/clusters")
-    member = lab.join(groups.select(F.col("digest").alias("node"), "rep"), "node").join(uniq.select(F.col("digest").alias("node"), "n", "sig"), "node")
+    member = lab.join(groups.select(F.col("digest").alias("node"), "rep"), "node").join(about, "node")
     member = materialize(_blocked(member, "label", "n", "node", CLUSTER_BLOCK, f"{folder}/sizes").select("label", "bi", "bj", "node", "rep", "n", "sig"), "members", f"{folder}/members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     full = member.join(texts, member["rep"].eqNullSafe(texts["doc_id"])).select("label", "bi", "bj", "node", "n", "sig", "text")
@@ -281,9 +283,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "key")
 
 
+#: Rows that go which are broadcast, so that the texts which stay need not be shuffled.
+GONE_ROWS = 500_000
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id. Rows that repeat
     a doc_id with one set of shingles stay or go together."""
     gone = near_duplicates(docs, n, percent).where("not kept").select(F.col("doc_id").alias("_mh_id"), F.col("key").alias("_mh_key")).distinct()
+    gone = materialize(gone, "gone")
+    if gone.count() <= GONE_ROWS:  # of two numbers each; else the texts move to meet them
+        gone = F.broadcast(gone)
     mine = docs["doc_id"].cast("long") == gone["_mh_id"]
     return docs.join(gone, mine & (F.xxhash64(docs["text"].cast("string")) == gone["_mh_key"]), "left_anti")
