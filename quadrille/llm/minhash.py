@@ -171,6 +171,8 @@ def _blocked(df: DataFrame, key: str, size: str, node: str, most: int, path: str
 _EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 #: Members of a bucket, and shingles of a cluster, that one task compares with each other.
 BUCKET_BLOCK, CLUSTER_BLOCK = 16_384, 2_000_000
+#: So many rows of one or two numbers are broadcast, so that texts need not be shuffled.
+FEW_ROWS = 500_000
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -235,6 +237,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     member = lab.join(groups.select(F.col("digest").alias("node"), "rep"), "node").join(about, "node")
     member = materialize(_blocked(member, "label", "n", "node", CLUSTER_BLOCK, f"{folder}/sizes").select("label", "bi", "bj", "node", "rep", "n", "sig"), "members", f"{folder}/members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    wanted = member.select(F.col("rep").alias("_rep")).distinct()
+    if wanted.count() <= FEW_ROWS:  # only the texts of clusters move; else all of them do
+        texts = texts.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
     full = member.join(texts, member["rep"].eqNullSafe(texts["doc_id"])).select("label", "bi", "bj", "node", "n", "sig", "text")
     full = full.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "node")
 
@@ -283,16 +288,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "key")
 
 
-#: Rows that go which are broadcast, so that the texts which stay need not be shuffled.
-GONE_ROWS = 500_000
-
-
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id. Rows that repeat
     a doc_id with one set of shingles stay or go together."""
     gone = near_duplicates(docs, n, percent).where("not kept").select(F.col("doc_id").alias("_mh_id"), F.col("key").alias("_mh_key")).distinct()
     gone = materialize(gone, "gone")
-    if gone.count() <= GONE_ROWS:  # of two numbers each; else the texts move to meet them
+    if gone.count() <= FEW_ROWS:  # of two numbers each; else the texts move to meet them
         gone = F.broadcast(gone)
     mine = docs["doc_id"].cast("long") == gone["_mh_id"]
     return docs.join(gone, mine & (F.xxhash64(docs["text"].cast("string")) == gone["_mh_key"]), "left_anti")

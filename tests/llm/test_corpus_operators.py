@@ -170,7 +170,7 @@ def test_op10_query(spark):
 
 @pytest.mark.parametrize("most", [500_000, 0])
 def test_keep_one(spark, monkeypatch, most):
-    monkeypatch.setattr(minhash, "GONE_ROWS", most)
+    monkeypatch.setattr(minhash, "FEW_ROWS", most)
     texts = near_texts(4)
     comp = {i: c for i, _, c in slow_near(texts, 5, 80)}
     kept = minhash.keep_one(docs(spark, texts).withColumn("key", F.lit(1)).withColumn("_h", F.lit(2)))
