@@ -134,7 +134,9 @@ class Compiler:
                 arg = replace(arg, const=None)
             made[x] = aggregate(x, arg, row)
         cols = [e.col.alias(column_name(calls[x])) for x, e in made.items()] or [F.lit(True).alias("_one")]
-        grouped = f.df.groupBy(*[f.col(k) for k in keys]).agg(*cols)
+        grouped = self._subject_counts(q, keys, calls)
+        if grouped is None:
+            grouped = f.df.groupBy(*[f.col(k) for k in keys]).agg(*cols)
         env = {k: f.env[k] for k in keys} | {calls[x]: E(F.col(column_name(calls[x])), e.kind, e.null) for x, e in made.items()}
         g = Frame(grouped, env)
         ready = {x: E(g.col(n), made[x].kind, made[x].null) for x, n in calls.items()}
@@ -146,6 +148,16 @@ class Compiler:
             g = g.where(ebv(compile_expr(h, scope)))
         return g, scope
 
+    def _subject_counts(self, q: Query, keys: list[str], calls: dict[Call, str]):
+        """Of ``?s ?p ?o`` the distinct ?s for each ?p: sources may know a way without triples."""
+        t = q.where.parts[0] if len(q.where.parts) == 1 else None
+        if not (isinstance(t, Triple) and all(isinstance(x, Var) for x in (t.s, t.p, t.o)) and len({t.s, t.p, t.o}) == 3):
+            return None
+        if keys != [t.p.name] or any(e != t.p for _, e in q.group) or not calls or any(x.name != "COUNT" or not x.distinct or x.args != (t.s,) for x in calls):
+            return None
+        made = self.source.subject_counts(self.default)
+        return None if made is None else made.select(F.col("p").alias(column_name(t.p.name)), *[F.col("n").alias(column_name(v)) for v in calls.values()])
+
     def text_limit(self, f: Frame, k: int) -> Frame:
         """The best ``k`` text records for each combination of entities."""
         scores = [v for v in f.env if v.startswith("ql_score_")]

@@ -31,6 +31,11 @@ class Source:
         df, cols = self.any_predicate(graphs, None)
         return df.select(cols["s"].col.alias("s"), cols["p"].col.alias("p")).distinct(), {"s": E(F.col("s"), cols["s"].kind, False), "p": E(F.col("p"), cols["p"].kind, False)}
 
+    def subject_counts(self, graphs: list[str] | None) -> DataFrame | None:
+        """Predicates and the numbers of their distinct subjects (columns p, n), if the source
+        counts them without making triples."""
+        return None
+
     def nodes(self, graphs: list[str] | None) -> DataFrame:
         """Distinct subjects and objects (column a, as terms)."""
         df, c = self.any_predicate(graphs, None)

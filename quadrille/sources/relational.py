@@ -22,6 +22,7 @@ from ..plans.algebra import IRI, RDF, Triple, Var
 from .base import Source, match
 
 BASE = "http://example.org/t/"
+BITS = 62  # of a word that tells which predicates a subject has
 _KINDS = {"string": "str", "double": "dbl", "float": "dbl", "boolean": "bool", "timestamp_ntz": "ts", "date": "date"}
 
 
@@ -162,4 +163,24 @@ class RelationalGraph(Source):
         """Predicates are single-valued here, so the pairs are distinct without a shuffle."""
         return self.any_predicate(graphs, None)
 
-
+    def subject_counts(self, graphs: list[str] | None) -> DataFrame:
+        """Rows of one subject become one row of native keys and bits, which tell the predicates
+        it has; a row without a key is a subject of its own, and nothing is shuffled for it."""
+        out = None
+        for n in self._named(graphs):
+            cols = self.columns(n)
+            has = [F.when(e.col.isNotNull(), 1).otherwise(0) if e.null else F.lit(1) for e in cols.values()]
+            words = [has[k : k + BITS] for k in range(0, len(has), BITS)]
+            masks = [sum((F.shiftleft(b.cast("bigint"), i) for i, b in enumerate(w)), F.lit(0).cast("bigint")).alias(f"m{k}") for k, w in enumerate(words)]
+            s = self.subject(n).col if self.tables[n].key else F.lit(True)
+            df = self.tables[n].df.select(s.alias("s"), *masks)
+            if self.tables[n].key:
+                df = df.groupBy("s").agg(*[F.bit_or(f"m{k}").alias(f"m{k}") for k in range(len(masks))])
+            bit = lambda i: F.col(f"m{i // BITS}").bitwiseAND(F.lit(1 << i % BITS).cast("bigint")) != 0
+            counts = [F.count(F.when(bit(i), F.col("s"))).alias(f"n{i}") for i in range(len(cols))] + [F.count(F.when(bit(i), 1)).alias(f"r{i}") for i in range(len(cols))]
+            rows = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r")) for i, p in enumerate(cols)])
+            made = df.agg(*counts).select(F.explode(rows).alias("x")).select("x.*").where("r > 0")
+            out = made if out is None else out.unionByName(made)
+        if out is None:
+            return self.spark.range(0).select(F.lit("").alias("p"), F.col("id").alias("n"))
+        return out.groupBy("p").agg(F.sum("n").alias("n"))
