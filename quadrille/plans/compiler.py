@@ -182,7 +182,7 @@ class Compiler:
 
     def _filtered(self, g: Group, where: tuple) -> Frame:
         g = magic_predicates(g)
-        filters = [p.expr for p in g.parts if isinstance(p, Filter)]
+        filters = [e for p in g.parts if isinstance(p, Filter) for e in _conjuncts(p.expr)]
         f = self._patterns(g, where, filters)
         for e in filters:
             f = self.filter(f, e)
@@ -246,6 +246,8 @@ class Compiler:
         if not (a.names & b.names):
             for e in filters:
                 if (made := spatial.from_filter(e, a, b)) is not None:
+                    if e.name in ("<=", "<"):  # it holds for every pair
+                        filters.remove(e)
                     return made
         return fr.join(a, b)
 
@@ -490,6 +492,10 @@ def E_text(f: Frame, v: str):  # noqa: N802
     return F.when(t["k"].isin(5, 8), t["s"])
 
 
+def _conjuncts(e: Any) -> list:
+    return [x for a in e.args for x in _conjuncts(a)] if isinstance(e, Call) and e.name == "&&" else [e]
+
+
 def _open(t: Triple, f: Frame | None) -> int:
     """Paths with a known end come first."""
     names = f.names if f else set()
