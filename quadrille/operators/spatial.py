@@ -99,31 +99,35 @@ def within(a: Frame, left: str, b: Frame, right: str, metres: float, distance: s
 
 
 def nearest(a: Frame, left: str, b: Frame, right: str, k: int, metres: float | None = None, distance: str | None = None) -> Frame:
-    """The ``k`` nearest points of ``b`` for each row of ``a``; ties go by the row's text."""
-    pa = _prepared(a.df, E(a.col(left), a.env[left].kind, True), "a")
-    pb = materialize(_prepared(b.df, E(b.col(right), b.env[right].kind, True), "b"), "points")
-    todo = materialize(pa.withColumn("_id", F.monotonically_increasing_id()), "points")
+    """The ``k`` nearest points of ``b`` for each row of ``a``; ties go by the row's text. They
+    are sought once for each place, among the first ``k`` rows of every other: no more of one
+    place can be among the nearest."""
+    pa = materialize(_prepared(a.df, E(a.col(left), a.env[left].kind, True), "a"), "points")
+    pb = _prepared(b.df, E(b.col(right), b.env[right].kind, True), "b").withColumn("_text", F.to_json(F.struct(*[F.col(column_name(v)) for v in b.env])))
+    same = Window.partitionBy("_xb", "_yb").orderBy("_text")
+    pb = materialize(pb.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k).drop("_r"), "points")
+    todo = materialize(pa.select("_xa", "_ya").distinct(), "places")
     n = pb.count()
     top = math.pi * geo.EARTH_KM + 1
     limit = min(top, metres / 1000) if metres is not None else top
     km = min(limit, max(0.1, 2 * geo.EARTH_KM * math.sqrt(4 * k / max(n, 1))))
-    order = Window.partitionBy("_id").orderBy("_km", F.to_json(F.struct(*[F.col(column_name(v)) for v in b.env])))
-    count = Window.partitionBy("_id")
+    order = Window.partitionBy("_xa", "_ya").orderBy("_km", "_text")
     out = None
     while True:
-        near = _near(todo, pb, km).withColumn("_r", F.row_number().over(order)).withColumn("_c", F.count(F.lit(1)).over(count)).where(F.col("_r") <= k)
         last = km >= limit or n <= k
         if last and km < limit:
             km = limit
             continue
-        near = materialize(near, "near")
-        done = near if last else near.where(F.col("_c") >= k)
+        near = _near(todo, pb, km, spread="a").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+        near = materialize(near.drop("_text", "_xb", "_yb"), "near")
+        full = near.where(F.col("_r") == k).select("_xa", "_ya")
+        done = near if last else near.join(full, ["_xa", "_ya"], "left_semi")
         out = done if out is None else out.unionByName(done)
+        if not last:
+            todo = materialize(todo.join(full, ["_xa", "_ya"], "left_anti"), "left")
+            last = todo.isEmpty()
         if last:
-            return _finish(out, a, b, distance)
-        todo = materialize(todo.join(done.select("_id").distinct(), "_id", "left_anti"), "left")
-        if todo.isEmpty():
-            return _finish(out, a, b, distance)
+            return _finish(pa.join(out.drop("_r"), ["_xa", "_ya"]), a, b, distance)
         km = min(limit, km * 4)
 
 

@@ -57,3 +57,16 @@ def test_distances_are_taken_between_places(engine, written, op):
     plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "rlike" not in plan and "asin" not in plan, "the filter is not computed again for each pair of rows"
     assert written["pairs"] and max(written["pairs"]) <= 36
+
+
+def test_nearest_are_sought_once_for_each_place(engine, written):
+    df = engine.query(f"{PRE}SELECT ?a ?b ?d WHERE {{ {SIDES} SERVICE spatialSearch: {{ _:c spatialSearch:left ?ga ; spatialSearch:right ?gb ; spatialSearch:numNearestNeighbors 8 ; spatialSearch:maxDistance 300000 ; spatialSearch:bindDistance ?d {OTHER} }} }}")
+    want, text = {}, dict(RIGHT)
+    for a, p in points((LEFT, len(PLACES))):
+        ranked = sorted((round(km(p, q), 6), json.dumps({"v_b": b, "v_gb": text[b]}, separators=(",", ":")), b) for b, q in points((RIGHT, 6)))
+        want[a] = [(b, d) for d, _, b in ranked if d <= 300][:8]
+    got = defaultdict(list)
+    for r in df.collect():
+        got[r["a"]].append((r["b"], round(r["d"], 6)))
+    assert {a: sorted(x) for a, x in got.items()} == {a: sorted(x) for a, x in want.items() if x}
+    assert max(written["near"]) <= 6 * 8, "not one for each row"
