@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .operators.text import TextIndex
 from .plans.algebra import IRI
-from .sources.relational import BASE, LazyTables, RelationalGraph, Table
+from .sources.relational import BASE, LazyTables, RelationalGraph, Table, file_row
 from .sources.store import QuadStore
 
 KEYS = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",), "lineitem": (), "events": ("event_id",), "documents": ("doc_id",), "pages": ("page_id",), "benchmark": ("item_id",), "labels": ("doc_id",), "conversations": ("conv_id", "turn")}
@@ -19,7 +19,7 @@ PREFIXES = {"t": BASE, "g": BASE + "graph/"} | {n: f"{BASE}{n}#" for n in KEYS}
 
 
 def graph(spark: SparkSession, sf_dir: str, *names: str) -> RelationalGraph:
-    return RelationalGraph(spark, LazyTables(list(names or KEYS), lambda n: Table(spark.read.parquet(f"{sf_dir}/{n}.parquet"), KEYS[n], REFS.get(n, {}))))
+    return RelationalGraph(spark, LazyTables(list(names or KEYS), lambda n: Table(spark.read.parquet(f"{sf_dir}/{n}.parquet"), KEYS[n], REFS.get(n, {}), row=None if KEYS[n] else file_row())))
 
 
 def engine(spark: SparkSession, sf_dir: str, *names: str) -> Engine:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import K_LIT, E, common_kind, convert, spark_type, struct, to_term
@@ -29,13 +29,21 @@ _KINDS = {"string": "str", "double": "dbl", "float": "dbl", "boolean": "bool", "
 @dataclass(frozen=True)
 class Table:
     """``refs``: column to table; ``langs``: text column to the column with its language;
-    ``wkt``: columns that hold geometries."""
+    ``wkt``: columns that hold geometries; ``row``: a text that differs for each row of a table
+    without a key, and is the same in every scan (see ``file_row``)."""
 
     df: DataFrame
     key: tuple[str, ...] = ()
     refs: dict[str, str] = field(default_factory=dict)
     langs: dict[str, str] = field(default_factory=dict)
     wkt: tuple[str, ...] = ()
+    row: Column | None = None
+
+
+def file_row() -> Column:
+    """The file and the place in it: names the rows of a table that is read from Parquet files,
+    where nothing is derived from it yet. Needs no shuffle."""
+    return F.concat(F.md5(F.col("_metadata.file_path").cast("binary")), F.lit("-"), F.col("_metadata.row_index").cast("string"))
 
 
 class LazyTables(Mapping):
@@ -69,6 +77,8 @@ class RelationalGraph(Source):
             return E(F.col(t.key[0]).cast("bigint"), f"ref:{self.base}{name}/", True)
         if t.key:
             return E(F.concat(F.lit(f"{self.base}{name}/"), F.concat_ws("-", *[F.col(k).cast("string") for k in t.key])), "iri", True)
+        if t.row is not None:
+            return E(F.concat(F.lit(f"_:{name}-"), t.row), "res", False)
         row = F.md5(F.to_json(F.struct(*[F.col(c) for c in t.df.columns])))  # equal rows are told apart by a number
         return E(F.concat(F.lit(f"_:{name}-"), row, F.lit("-"), F.row_number().over(Window.partitionBy(row).orderBy(F.lit(1)))), "res", False)
 

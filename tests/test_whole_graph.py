@@ -52,3 +52,20 @@ def test_distinct_subjects_are_counted_without_triples(spark):
     assert dict(map(tuple, df.collect())) == want and want[TYPE] == 5 and want[f"{BASE}a#s"] == 2
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Expand" not in plan
+
+
+def test_rows_without_a_key_are_named_without_a_shuffle(spark, tmp_path):
+    """Equal rows in several files are subjects of their own, the same ones in every scan."""
+    from quadrille.queries import engine, graph
+
+    for name in KEYS:
+        df = spark.read.parquet(f"{SF}/{name}.parquet").limit(20)
+        (df.union(df).repartition(3) if name == "lineitem" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/lineitem.parquet").count()
+    s = graph(spark, str(tmp_path), "lineitem").any_predicate(None, None)[0].select("s", "p")
+    assert s.select("s").distinct().count() == rows == s.where(f"p = '{TYPE}'").count()
+    same = engine(spark, str(tmp_path), "lineitem").query("SELECT (COUNT(*) AS ?n) WHERE { ?l ?p ?o . ?l lineitem:l_quantity ?q FILTER(?p = lineitem:l_quantity && ?o = ?q) }")
+    assert same.first()["n"] == rows
+    for name in ("path_negated", "has_predicate"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan, name
