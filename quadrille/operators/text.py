@@ -2,20 +2,28 @@
 
 Words are runs of letters and digits, lower-cased. A posting has a score: the count of the
 word, TF-IDF (``tf * log2(N / df)``) or BM25. Postings are a table sorted by word, so a
-word or prefix is a pushed-down range of it."""
+word or prefix is a pushed-down range of it. An index that is built is runs of a million
+words, each sorted where its records are read: nothing is shuffled, and counts of one word
+in one record that are in two runs are added when the word is looked up."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.terms import E, to_term
 from ..plans.parser import SparqlError
 from ..shared import fresh_path, materialize
 from .frames import Frame, frame
 
+RUN = 1_000_000  # words that a task counts and sorts at a time
 WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -23,6 +31,42 @@ def tokens(text):
     return F.filter(F.split(F.lower(text), WORD), lambda w: w != "")
 
 
+def _sorted_codes(a: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct values in order, and for each value its place among them."""
+    coded = a.dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
+
+
+def _runs(size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        words, w = _sorted_codes(pa.concat_arrays([b.column("word") for b in held]))
+        recs, r = _sorted_codes(pa.concat_arrays([b.column("rec") for b in held]))
+        pairs, n = np.unique(w * len(recs) + r, return_counts=True)
+        return pa.record_batch([words.take(pa.array(pairs // len(recs))), recs.take(pa.array(pairs % len(recs))), pa.array(n.astype(float))], names=["word", "rec", "score"])
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in parts:
+            held, rows = [*held, b], rows + b.num_rows
+            if rows >= size:
+                yield made(held)
+                held, rows = [], 0
+        if rows:
+            yield made(held)
+
+    return run
+
+
+def counted(docs: DataFrame, size: int = RUN) -> DataFrame:
+    """word, rec, score of runs of ``size`` words; a run is sorted by word and record."""
+    words = docs.select("rec", F.explode(tokens(F.col("text"))).alias("word"))
+    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("rec", docs.schema["rec"].dataType), T.StructField("score", T.DoubleType())])
+    return words.mapInArrow(_runs(size), schema)
+
+
 @dataclass
 class TextIndex:
     postings: DataFrame  # word, rec, score (the count of the word, or what a words file says)
@@ -36,6 +80,7 @@ class TextIndex:
     k: float = 1.75
 
     docs: DataFrame | None = None  # rec, text: what records are, where it is known
+    runs: bool = False  # whether the counts of a word in a record may be in several rows
 
     @classmethod
     def from_literals(cls, source, graphs: list[str] | None = None, scoring: str = "count") -> TextIndex:
@@ -53,10 +98,14 @@ class TextIndex:
         and BM25 are computed from the postings that a query reads."""
         if scoring not in ("count", "tfidf", "bm25"):
             raise SparqlError("scoring is count, tfidf or bm25")
-        words = docs.select("rec", F.explode(tokens(F.col("text"))).alias("word"))
-        # Written once: the sample for sorting, and the sizes, read it again.
-        tf = materialize(words.groupBy("word", "rec").agg(F.count(F.lit(1)).cast("double").alias("score")), "tf")
-        made = cls._held(docs.sparkSession, tf, entities, record_kind)
+        if isinstance(docs.schema["rec"].dataType, (T.LongType, T.IntegerType)):
+            tf = materialize(counted(docs), "postings")
+            made = cls(tf, cls._entities(docs.sparkSession, entities), record_kind, runs=True)
+        else:
+            words = docs.select("rec", F.explode(tokens(F.col("text"))).alias("word"))
+            # Written once: the sample for sorting, and the sizes, read it again.
+            tf = materialize(words.groupBy("word", "rec").agg(F.count(F.lit(1)).cast("double").alias("score")), "tf")
+            made = cls._held(docs.sparkSession, tf, entities, record_kind)
         made.scoring, made.b, made.k = scoring, b, k
         if scoring != "count":
             made.records = float(max(docs.select("rec").distinct().count(), 1))
@@ -80,7 +129,7 @@ class TextIndex:
     def save(self, path: str) -> None:
         """Writes the index as tables that ``load`` reads; nothing is computed anew then."""
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("word", "rec").sortWithinPartitions("word", "rec").write.parquet(f"{path}/postings")
+        self._whole(self.postings).repartitionByRange("word", "rec").sortWithinPartitions("word", "rec").write.parquet(f"{path}/postings")
         self.entities.write.parquet(f"{path}/entities")
         for name, df in (("sizes", self.sizes), ("docs", self.docs)):
             if df is not None:
@@ -109,11 +158,17 @@ class TextIndex:
     def _held(cls, spark, postings, entities, record_kind) -> TextIndex:
         path = fresh_path(spark, "postings")
         postings.repartitionByRange("word", "rec").sortWithinPartitions("word", "rec").write.parquet(path)
+        return cls(spark.read.schema(postings.schema).parquet(path), cls._entities(spark, entities), record_kind)
+
+    @staticmethod
+    def _entities(spark: SparkSession, entities: DataFrame | None) -> DataFrame:
         if entities is None:
-            entities = spark.createDataFrame([], "rec bigint, entity string, score double")
-        elif "score" not in entities.columns:
-            entities = entities.withColumn("score", F.lit(1.0))
-        return cls(spark.read.schema(postings.schema).parquet(path), entities, record_kind)
+            return spark.createDataFrame([], "rec bigint, entity string, score double")
+        return entities if "score" in entities.columns else entities.withColumn("score", F.lit(1.0))
+
+    def _whole(self, rows: DataFrame) -> DataFrame:
+        """Postings with one row for a word of a record."""
+        return rows.groupBy("word", "rec").agg(F.sum("score").alias("score")) if self.runs else rows
 
     def _scored(self, rows: DataFrame) -> DataFrame:
         """Postings of some words, with their final scores."""
@@ -130,11 +185,11 @@ class TextIndex:
         w = word.lower()
         cols = {text_var: E(F.col("rec"), self.record_kind, False)}
         if w.endswith("*"):
-            df = self.postings.where(F.col("word").startswith(w[:-1]))
+            df = self._whole(self.postings.where(F.col("word").startswith(w[:-1])))
             if matched:
                 cols[matched] = E(F.col("word"), "str", False)
         else:
-            df = self.postings.where(F.col("word") == w)
+            df = self._whole(self.postings.where(F.col("word") == w))
         if score:
             df = self._scored(df)
             cols[score] = E(F.col("score"), "dbl", False)
